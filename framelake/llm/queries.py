@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, perspectives, topk, urls
+from . import decontaminate, licenses, packing, perspectives, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def crc_of_id() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=crc_of_id() % 5 != 0)
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -29,6 +38,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
 def tokenizer_path() -> str:
     """Where the tokenizer file of the registered packing query lies on this machine."""
     import public_tokenizers
@@ -77,5 +91,5 @@ SELECT conv_id, perspective, turn, role, name,
 FROM r
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op7_licenses": op7_licenses, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op4_chat_perspectives": SQL_PERSPECTIVES, "op10_topk": SQL_TOPK}

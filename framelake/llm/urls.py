@@ -23,11 +23,14 @@ columns do not matter.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import shared_dir
+
 #: Rules that a plan may carry.
 MOST_RULES = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,8 +96,6 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
     """
     if not n_listed:
         return []
-    import math
-
     levels = [_level(listed, n_listed, max(4.0, 1.44 * math.log2(max(2.0, n_universe / n_listed))), seed)]
     wrong = universe.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti").checkpoint()
     right = listed
@@ -113,14 +114,6 @@ def listed(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
     """All columns of ``pages`` with host, path, rule and verdict; ``rules``: (block or allow, rule).
 
@@ -129,7 +122,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     spark = pages.sparkSession
-    checkpoint_dir(spark)
+    shared_dir(spark)
     kind = {}
     for action, rule in rules:
         kind[rule] = "block" if "block" in (action, kind.get(rule)) else action
