@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, perspectives, quality, topk, urls
+from . import decontaminate, licenses, likelihood, packing, perspectives, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scored = likelihood.score(_table(spark, sf_dir, "documents"), crc_of_id() % 10 != 0, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", crc_of_id() % 10 == 0)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
@@ -91,5 +98,5 @@ SELECT conv_id, perspective, turn, role, name,
 FROM r
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op7_licenses": op7_licenses, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op4_chat_perspectives": SQL_PERSPECTIVES, "op10_topk": SQL_TOPK}
