@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, likelihood, packing, perspectives, quality, topk, urls
+from . import decontaminate, licenses, likelihood, ngram_join, packing, perspectives, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def tokenizer_path() -> str:
     """Where the tokenizer file of the registered packing query lies on this machine."""
     import public_tokenizers
@@ -98,5 +102,5 @@ SELECT conv_id, perspective, turn, role, name,
 FROM r
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op4_chat_perspectives": SQL_PERSPECTIVES, "op10_topk": SQL_TOPK}
