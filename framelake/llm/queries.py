@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, likelihood, ngram_join, packing, perspectives, quality, topk, urls
+from . import decontaminate, licenses, likelihood, ngram_join, packing, perspectives, quality, substrings, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicate(_table(spark, sf_dir, "documents"), length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def crc_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
@@ -102,5 +107,5 @@ SELECT conv_id, perspective, turn, role, name,
 FROM r
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_packing": op9_packing, "op10_topk": op10_topk}
 ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op4_chat_perspectives": SQL_PERSPECTIVES, "op10_topk": SQL_TOPK}
