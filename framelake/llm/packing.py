@@ -19,6 +19,7 @@ an empty table gives no pieces; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from . import text as X
 
 #: Tokens packed in one run of the dynamic programme.
 RUN_TOKENS = 1 << 19
-#: Distinct words whose ids a worker remembers.
+#: Distinct units whose ids a worker remembers.
 REMEMBER = 300_000
 #: Penalties, in tokens of padding, for a window that ends inside a document and inside a sentence.
 INSIDE_DOCUMENT, INSIDE_SENTENCE, GRID = 4, 24, 64
@@ -43,90 +44,115 @@ WITH_IDS = SCHEMA + ", ids array<int>"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
-_TRAILING = b".,!?;:$%&#*|"
+_TRAILING = np.zeros(256, bool)
+_TRAILING[list(b".,!?;:$%&#*|")] = True
+#: Units of lower-case letters alone, a to z and those of Latin-1.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
-class WordIds:
-    """Token ids of words: what the tokenizer gives for a text, found word by word.
+class Units:
+    """Token ids of units of text: what the tokenizer gives for a text, found unit by unit.
 
-    White space never reaches a token in this vocabulary, so a text's ids are
-    those of its words in turn, and words that repeat are looked up.
+    White space never reaches a token in this vocabulary, and a run of symbols
+    after a letter is a group of its own, so a text's ids are those of its
+    words, cut before such a run, in turn.  Units that repeat are looked up by
+    hash; new ones of letters alone are tokenized many at a time, as each ends
+    in one token that closes a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for piece, i in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
             self.closes[i] = piece.endswith("</w>")
-        self.known: dict[bytes, np.ndarray] = {}
+        self._clear()
 
-    @staticmethod
-    def _plain(core: str) -> bool:
-        return all("a" <= c <= "z" or "ß" <= c <= "ÿ" and c != "÷" for c in core)
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self._plain(w.decode())]
-        other = [w for w in words if not self._plain(w.decode())]
+    def _learn(self, keys: list[int], units: list[str]) -> None:
+        plain = [k for k, u in enumerate(units) if _PLAIN(u)]
+        other = [k for k, u in enumerate(units) if not _PLAIN(u)]
+        order, ids, sizes = [], [], []
         for lo in range(0, len(plain), 512):
             part = plain[lo : lo + 512]
-            ids = self._encode([" ".join(w.decode() for w in part)])[0]
-            ends = np.flatnonzero(self.closes[ids]) + 1
+            got = self._encode([" ".join([units[k] for k in part])])[0]
+            ends = np.flatnonzero(self.closes[got]) + 1
             if len(ends) == len(part):
-                self.known.update(zip(part, np.split(ids, ends[:-1]), strict=True))
+                order.extend(part)
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
             else:
                 other.extend(part)
         if other:
-            self.known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words are UTF-8 with A-Z in lower case."""
-        split = []
-        for w in words:
-            core = w.rstrip(_TRAILING)
-            # a run of symbols is a token group of its own only after a letter
-            split.append((core, w[len(core) :]) if core and len(core) < len(w) and self._plain(core[-1:].decode("latin-1") if core[-1] < 128 else "-") else (w, b""))
+            got = self._encode([units[k] for k in other])
+            order.extend(other)
+            ids.extend(got)
+            sizes.append(np.array([len(x) for x in got], np.int64))
+        size = np.concatenate(sizes)
+        self.known.update(zip([keys[k] for k in order], range(len(self.size), len(self.size) + len(order)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``ids``, number of ids) of each unit; the bytes have A-Z in lower case."""
+        hashed, first, inverse = np.unique(X.range_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = {p for pair in split for p in pair if p} - self.known.keys()
+            self._clear()
+        keys, known = hashed.tolist(), self.known
+        new = [i for i, k in enumerate(keys) if k not in known]
         if new:
-            self._learn(list(new))
-        known = self.known
-        return [known[a] if not b else np.concatenate([known[a], known[b]]) for a, b in split]
+            raw = data.tobytes()
+            at = first[new]
+            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        which = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
+        return self.begin[which], self.size[which]
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[str, Units] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def units(path: str) -> Units:
+    """The tokenizer's units, kept for the life of a worker."""
     if path not in _loaded:
         _loaded.clear()
-        _loaded[path] = WordIds(path)
+        _loaded[path] = Units(path)
     return _loaded[path]
 
 
-def encode(find: WordIds, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(find: Units, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, document bounds, sentence ends) of a slice of texts, each with its end token."""
     w = X.words(data, bounds, X.SPACED, lower=True)
-    _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-    ids = find.of([w.word(i) for i in first.tolist()])
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-    begin = np.cumsum(size) - size
-    n = size[inverse]
-    owner = w.owner
+    core = w.end.copy()
+    moving = np.arange(len(core))
+    while len(moving):  # back over symbols at the end of words
+        moving = moving[(core[moving] > w.start[moving]) & _TRAILING[w.data[core[moving] - 1]]]
+        core[moving] -= 1
+    cut = (core < w.end) & (core > w.start)
+    cut[cut] = _LETTER[w.data[core[cut] - 1]]
+    at = np.repeat(np.arange(len(cut)), 1 + cut)
+    tail = np.zeros(len(at), bool)
+    tail[1:] = at[1:] == at[:-1]
+    begin, n = find.find(w.data, np.where(tail, core[at], w.start[at]), np.where(tail | ~cut[at], w.end[at], core[at]))
+    owner = w.owner[at]
     total = np.bincount(owner, weights=n, minlength=len(bounds) - 1).astype(np.int64) + 1
     ends = np.cumsum(total)
     out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
-    at = np.cumsum(n) - n + owner
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(at, n) + within] = flat[np.repeat(begin[inverse], n) + within]
-    last = w.data[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
-    stops = (at + n)[np.isin(last, np.frombuffer(b".!?", np.uint8))]
+    past = np.cumsum(n)
+    within = np.arange(int(past[-1]) if len(past) else 0) - np.repeat(past - n, n)
+    out[np.repeat(past - n + owner, n) + within] = find.ids[np.repeat(begin, n) + within]
+    closing = np.isin(w.data[w.end - 1], np.frombuffer(b".!?", np.uint8)) if len(w.end) else np.zeros(0, bool)
+    last = np.ones(len(at), bool)
+    last[:-1] = at[1:] != at[:-1]
+    stops = (past + owner)[last][closing]
     return out, np.concatenate([[0], ends]), stops
 
 
@@ -237,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_ids(tokenizer_path)
+        find = units(tokenizer_path)
         packer = Packer(size, TaskContext.get().partitionId(), with_ids)
         for batch in batches:
             names = batch.column(0).to_pylist()

@@ -69,6 +69,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges [start, end) of the data."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * _power("up", n), out=total[1:])
+    return mix((total[end] - total[start]) * _power("down", n + 1)[start] + (end - start).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """The words of a slice of texts: text ``k`` owns words ``first[k]:first[k + 1]``."""
@@ -121,11 +129,7 @@ def words(data: np.ndarray, bounds: np.ndarray, marks: np.ndarray = SPACED, lowe
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    first = np.searchsorted(start, bounds)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power("up", n), out=total[1:])
-    value = (total[end] - total[start]) * _power("down", n + 1)[start]
-    return Words(data, bounds, start, end, first, mix(value + (end - start).astype(np.uint64)))
+    return Words(data, bounds, start, end, np.searchsorted(start, bounds), range_hashes(data, start, end))
 
 
 def grams(values: np.ndarray, n: int) -> np.ndarray:
