@@ -6,11 +6,15 @@ multiplied, and within a block pairs are given up as soon as what is still to
 come cannot lift them over the bound that their sizes set.
 
 1. Documents with the same set are one row (a 64-bit signature stands for it).
-2. Which columns are common is told by a fixed array of counters, summed over
-   all documents; common columns are put last in every row.
+2. How common a column is, an array of counters tells, summed over all
+   documents; every row is ordered by it, rare columns first.  Columns far above
+   the mean are called common.  Any fixed order is right; a good one keeps rows
+   apart that share only what many share.
 3. Two rows that link share one of their first ``n - ceil(t n) + 1`` columns in
-   any fixed order (prefix bound), so rows are dealt by those columns, and all
-   rows of a column are tied to its smallest one: a star, not all pairs.  Rows
+   any fixed order (prefix bound), so rows are dealt by those columns.  A column
+   with few rows adds one to the overlap of each pair of them; pairs whose sum
+   stays under what their sizes demand of the prefixes are dropped.  All rows of
+   any other column are tied to its smallest one: a star, not all pairs.  Rows
    of a common column are first tied within salted shares, then share by share.
 4. Rows tied together, directly or not, are a candidate group, which holds
    every link of its rows.  Groups are cut into blocks, each pair of blocks is
@@ -30,19 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
 from .graph import components, membership
 from .storage import saved
 
-#: Counters for common columns, and how many travel in one row.
-COUNTERS, COUNTER_ROW = 1 << 22, 1 << 14
+#: Counters at least and at most, bytes of text for each, and how many travel in one row.
+COUNTERS, BYTES_A_COUNTER, COUNTER_ROW = (1 << 16, 1 << 25), 24, 1 << 14
+#: Rank of a column whose counter is far above the mean.
+COMMON = 255
 #: Shares into which the rows of a common column are dealt.
 SALTS = 32
+#: Rows of a column whose pairs are counted; of more rows, all are tied.
+FEW = 12
 #: Rows of a block at least, and blocks of a group at most, until blocks get too large.
-BLOCK, MOST_BLOCKS, LARGEST = 128, 16, 8192
+BLOCK, MOST_BLOCKS, LARGEST = 256, 12, 8192
 #: Rows and columns multiplied at a time.
 TILE, COLUMNS = 1024, 2048
 
@@ -69,30 +77,40 @@ def _read(column: pa.Array) -> Iterator[tuple[int, int, X.Words]]:
         yield lo, hi, X.words(data, bounds, X.SPACED, lower=True)
 
 
-def common_columns(docs: DataFrame, n: int) -> np.ndarray:
-    """Marks of counters that stand far above the mean: their columns are common."""
+def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
+    """Rank of every counter: 128 at the mean, 16 a standard deviation, COMMON from eight of them on.
+
+    A task's counters stop at 255; the rank would be COMMON long before.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    counters = COUNTERS[0]
+    while counters < min(size / BYTES_A_COUNTER, COUNTERS[1]):
+        counters *= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(COUNTERS, np.uint32)
+        mine = np.zeros(counters, np.uint8)
         for b in batches:
             for _, _, w in _read(b.column(0)):
                 h, _, _ = X.grams_by_text(w, n, whole_if_shorter=True)
-                mine += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        parts = [zlib.compress(mine[lo : lo + COUNTER_ROW].tobytes(), 1) for lo in range(0, COUNTERS, COUNTER_ROW)]
+                at, c = np.unique(h & np.uint64(counters - 1), return_counts=True)
+                at = at.astype(np.int64)
+                mine[at] = np.minimum(mine[at] + c, 255)
+        parts = [zlib.compress(mine[lo : lo + COUNTER_ROW].tobytes(), 1) for lo in range(0, counters, COUNTER_ROW)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTER_ROW, np.uint64)
+        total = np.zeros(COUNTER_ROW)
         for x in table["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        marks = np.packbits(total > 50 + 2 * total.mean(), bitorder="little")
-        return pa.table({"part": table["part"][:1], "counts": pa.array([marks.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        mean = total.mean()
+        rank = np.clip(np.round((total - mean) / max(1.0, np.sqrt(mean)) * 16) + 128, 0, COMMON).astype(np.uint8)
+        return pa.table({"part": table["part"][:1], "counts": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())})
 
     schema = "part int, counts binary"
     got = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toArrow()
-    out = np.zeros(COUNTERS, bool)
-    for part, marks in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        out[part * COUNTER_ROW : (part + 1) * COUNTER_ROW] = np.unpackbits(np.frombuffer(marks, np.uint8), bitorder="little").astype(bool)
+    out = np.full(counters, 128, np.uint8)
+    for part, rank in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        out[part * COUNTER_ROW : (part + 1) * COUNTER_ROW] = np.frombuffer(zlib.decompress(rank), np.uint8)
     return out
 
 
@@ -110,10 +128,10 @@ def _rows(docs: DataFrame, n: int) -> DataFrame:
 
 def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The first columns of every row, common ones last: column, salt (0: not common), sig."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common_columns(docs, n)))
+    shared = docs.sparkSession.sparkContext.broadcast(column_ranks(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(shared.value).astype(bool)
+        ranks = shared.value
         for b in batches:
             for _, _, w in _read(b.column(0)):
                 h, who, bounds = sets(w, n)
@@ -122,9 +140,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 first[np.unique(sig, return_index=True)[1]] = True
                 keep = first[who]
                 h, who = h[keep], who[keep]
-                last = common[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                order = np.lexsort((h, last, who))
-                h, who, last = h[order], who[order], last[order]
+                rank = ranks[(h & np.uint64(len(ranks) - 1)).astype(np.int64)]
+                order = np.lexsort((h, rank, who))
+                h, who, last = h[order], who[order], rank[order] == COMMON
                 size = np.bincount(who, minlength=len(sig))
                 place = np.arange(len(h)) - (np.cumsum(size) - size)[who]
                 keep = place < (size - -(-size * percent // 100) + 1)[who]
@@ -134,12 +152,67 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, salt int, sig bigint")
 
 
-def candidate_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """node (a signature) and component: groups that hold all links of their rows."""
-    low = F.min("sig").over(Window.partitionBy("h", "salt"))
-    tied = saved(_prefixes(docs, n, percent).withColumn("low", low).where((F.col("sig") != F.col("low")) | (F.col("salt") > 0)))
-    heads = tied.where("salt > 0").select("h", "low").distinct().withColumn("lowest", F.min("low").over(Window.partitionBy("h")))
-    links = tied.select(F.col("sig").alias("a"), F.col("low").alias("b")).unionByName(heads.select(F.col("low").alias("a"), F.col("lowest").alias("b")))
+def _within_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, salt, sig), sorted: pairs of a column of few rows (kind 0: a, b), ties of others (1: sig, lowest; 2, of common ones: lowest, h) and how often a row is tied (3: sig)."""
+
+    def columns(h: np.ndarray, salt: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (sig[1:] != sig[:-1])])
+        h, salt, sig = h[keep], salt[keep], sig[keep]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]))
+        size = np.diff(np.append(first, len(h)))
+        few = (salt[first] == 0) & (size <= FEW)
+        out = []
+        for k in range(2, FEW + 1):
+            at = first[few & (size == k)]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    out.append((sig[at + i], sig[at + j], np.zeros(len(at), np.int32)))
+        tied = np.repeat(~few & ((size > 1) | (salt[first] > 0)), size)
+        lowest = np.repeat(sig[first], size)
+        out.append((sig[tied], lowest[tied], np.ones(tied.sum(), np.int32)))
+        common = first[salt[first] > 0]
+        out.append((sig[common], h[common], np.full(len(common), 2, np.int32)))
+        out.append((sig[tied], sig[tied], np.full(tied.sum(), 3, np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], names=["a", "b", "kind"])
+
+    held = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(3)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        # the last column may go on in the next batch
+        open_from = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if ((now[0] != now[0][-1]) | (now[1] != now[1][-1])).any() else 0
+        if open_from:
+            yield from columns(*[x[:open_from] for x in now])
+        held = [x[open_from:] for x in now]
+    if held is not None and len(held[0]):
+        yield from columns(*held)
+
+
+def candidate_groups(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """node (a signature) and component: groups that hold all links of their rows.
+
+    A pair that links shares at least ``p - (n - need)`` of the prefix that ends
+    first, with ``p`` its length, ``n`` its row's size and ``need`` the overlap
+    that both sizes demand; the smaller of both values is asked for.  Columns in
+    which both rows are tied may add to what was counted.
+    """
+    sorted_rows = _prefixes(docs, n, percent).repartition("h", "salt").sortWithinPartitions("h", "salt", "sig")
+    tied = saved(sorted_rows.mapInArrow(_within_columns, "a bigint, b bigint, kind int").groupBy("kind", "a", "b").agg(F.count("*").alias("n")))
+    size = saved(rows.where("n > 0").select("sig", "n").distinct())
+    often = tied.where("kind = 3").select(F.col("a").alias("sig"), F.col("n").alias("often"))
+    info = saved(size.join(often, "sig", "left").select("sig", F.col("n").alias("size"), F.coalesce("often", F.lit(0)).alias("often")))
+    side = lambda c: info.select(F.col("sig").alias(c), F.col("size").alias(f"n_{c}"), F.col("often").alias(f"o_{c}"))
+    pairs = tied.where("kind = 0").select("a", "b", "n").join(side("a"), "a").join(side("b"), "b")
+    prefix = lambda c: F.col(c) - F.ceil(F.col(c) * percent / 100) + 1
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    asked = F.least(prefix("n_a") - (F.col("n_a") - need), prefix("n_b") - (F.col("n_b") - need))
+    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("n") + F.least("o_a", "o_b") >= asked)
+    heads = tied.where("kind = 2").select(F.col("a").alias("low"), F.col("b").alias("h")).distinct()
+    lowest = heads.groupBy("h").agg(F.min("low").alias("lowest"))
+    links = pairs.where(fits).select("a", "b").unionByName(tied.where("kind = 1").select("a", "b")).unionByName(heads.join(lowest, "h").select(F.col("low").alias("a"), F.col("lowest").alias("b")))
     return components(links)
 
 
@@ -220,7 +293,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest reachable id) for every row of ``docs``."""
     rows = saved(_rows(docs, n))
     first = saved(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    groups = saved(candidate_groups(docs, n, percent))
+    groups = saved(candidate_groups(docs, rows, n, percent))
     size = groups.groupBy("component").agg(F.count("*").alias("rows"))
     blocks = F.greatest(F.least(F.ceil(F.col("rows") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("rows") / LARGEST)).cast("int")
     members = saved(groups.join(size, "component").withColumn("blocks", blocks).join(first, F.col("node") == F.col("sig")).select("sig", "rep", "component", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")))
