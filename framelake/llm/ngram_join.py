@@ -77,6 +77,19 @@ def _read(column: pa.Array) -> Iterator[tuple[int, int, X.Words]]:
         yield lo, hi, X.words(data, bounds, X.SPACED, lower=True)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Bytes of a run of counters, most of them 0 and most others 1: which are used, and what those have over one."""
+    used = counts > 0
+    return zlib.compress(np.packbits(used).tobytes() + (counts[used] - 1).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    out = np.unpackbits(raw[: COUNTER_ROW // 8])
+    out[out > 0] += raw[COUNTER_ROW // 8 :]
+    return out
+
+
 def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
     """Rank of every counter: 128 at the mean, 16 a standard deviation, COMMON from eight of them on.
 
@@ -95,13 +108,13 @@ def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
                 at, c = np.unique(h & np.uint64(counters - 1), return_counts=True)
                 at = at.astype(np.int64)
                 mine[at] = np.minimum(mine[at] + c, 255)
-        parts = [zlib.compress(mine[lo : lo + COUNTER_ROW].tobytes(), 1) for lo in range(0, counters, COUNTER_ROW)]
+        parts = [_packed(mine[lo : lo + COUNTER_ROW]) for lo in range(0, counters, COUNTER_ROW)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNTER_ROW)
         for x in table["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+            total += _unpacked(x.as_py())
         mean = total.mean()
         rank = np.clip(np.round((total - mean) / max(1.0, np.sqrt(mean)) * 16) + 128, 0, COMMON).astype(np.uint8)
         return pa.table({"part": table["part"][:1], "counts": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())})
