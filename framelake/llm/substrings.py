@@ -20,7 +20,8 @@ documents, without looking at pairs:
    split when its rows are joined back.
 3. Rows that touch and have one reference become passages.  The passages of a
    reference, in shards of bounded length that overlap by a window, give the
-   automata; passages are joined to their reference by its id.
+   automata; passages meet their reference by its id, in shares of bounded
+   size with a copy of the reference each.
 
 Two membership filters of bounded size only spare rows; what they let through
 by mistake finds no partner later.
@@ -47,6 +48,10 @@ from .storage import saved
 
 #: Words of a reference in one automaton.
 SHARD_WORDS = 50_000
+#: Passages checked against one copy of a reference.
+SHARE = 500
+#: Rows held as Python strings at a time.
+PIECE = 400
 
 
 def _value_ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -87,6 +92,13 @@ def _read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, X.Words]]:
         yield ids[lo:hi], X.words(data, bounds, X.SPACED)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, for passes that hold texts as Python strings."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PIECE):
+            yield b.slice(lo, PIECE)
+
+
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     """Anchors that stand in several documents, and whether their spans differ."""
 
@@ -252,7 +264,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     listed = runs.groupBy("doc").agg(F.collect_list(F.struct("ref", "start", "stop")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             out = []
             for doc, text, its in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = (text or "").encode().split()
@@ -260,26 +272,37 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc", "ref", "start", "words"])
 
     cuts = saved(texts.join(listed, "doc").mapInArrow(cut, "doc bigint, ref bigint, start bigint, words string"))
-    references = saved(cuts.where("doc = ref").groupBy("ref").agg(F.collect_set("words").alias("reference")))
+    # a reference with many passages to check is dealt in shares, each with its own copy of the reference
+    shares = saved(cuts.where("doc > ref").groupBy("ref").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).withColumnRenamed("ref", "to"))
+    dealt = cuts.join(shares, F.col("ref") == F.col("to"))
+    own = F.col("doc") == F.col("ref")
+    share = F.when(own, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int")))
+    dealt = dealt.select("ref", F.explode(share).alias("share"), F.when(own, 0).otherwise(1).alias("asks"), "doc", "start", "words")
+    dealt = dealt.repartition("ref", "share").sortWithinPartitions("ref", "share", "asks", "start")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ref, held = None, None  # the last reference, if one automaton holds it
-        for b in batches:
+        now, texts, held = None, [], None  # the reference at hand, and its automaton if one shard holds it
+        for b in _pieces(batches):
             found = []
-            ref, doc, start, words = (b.column(i).to_pylist() for i in range(4))
-            queries = [x.split(" ") for x in words]
-            edges = [i for i in range(len(ref)) if not i or ref[i] != ref[i - 1]] + [len(ref)]
+            ref, share, asks, doc, start, words = (b.column(i).to_pylist() for i in range(6))
+            key = list(zip(ref, share, asks, strict=True))
+            edges = [i for i in range(len(key)) if not i or key[i] != key[i - 1]] + [len(key)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if key[lo][:2] != now:
+                    now, texts, held = key[lo][:2], [], None
+                if not asks[lo]:
+                    texts.extend(words[lo:hi])
+                    continue
+                queries = [x.split(" ") for x in words[lo:hi]]
                 n = 0
-                for a in [held] if ref[lo] == held_ref else _automata(b.column(4)[lo].as_py(), length):
+                for a in [held] if held is not None else _automata(sorted(set(texts)), length):
                     n, last = n + 1, a
-                    for i in range(lo, hi):
-                        found.extend((doc[i], start[i] + x, start[i] + y) for x, y in a.long_runs(queries[i], length))
-                held_ref, held = (ref[lo], last) if n == 1 else (None, None)
+                    for i, q in zip(range(lo, hi), queries, strict=True):
+                        found.extend((doc[i], start[i] + x, start[i] + y) for x, y in a.long_runs(q, length))
+                held = last if n == 1 else None
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["doc", "start", "stop"])
 
-    met = cuts.where("doc > ref").hint("merge").join(references, "ref").select("ref", "doc", "start", "words", "reference")
-    return met.mapInArrow(stream, "doc bigint, start bigint, stop bigint")
+    return dealt.mapInArrow(stream, "doc bigint, start bigint, stop bigint")
 
 
 def _automata(texts: list[str], length: int) -> Iterator[SuffixAutomaton]:
@@ -308,7 +331,7 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
         return run
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             n_words, n_removed, kept = [], [], []
             runs = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for text, its in zip(b.column(1).to_pylist(), runs, strict=True):
