@@ -18,8 +18,9 @@ of the joined keys is frequent.
 
 Cases: null or empty text is its end token only; without training documents
 everything is unknown and the pieces have all the mass; very long words run
-through the same recursion; repeated rows count and are scored each; an empty
-table gives no rows; other columns are not looked at.
+through the same recursion; repeated rows count and are scored each, rows that
+share an id or have none each by their own text; an empty table gives no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -250,31 +251,38 @@ def score(docs: DataFrame, training: Column, model_path: str, common: int = COMM
         at[at == len(keys)] = 0
         return at, (keys[at] == w.hash) if len(keys) else np.zeros(len(w.hash), bool)
 
+    # a row is known by its id and its text's hash; ``n_rare`` counts its words that are joined
     def commons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, known, base, model = shared.value
         for b in batches:
             for lo, hi, data, bounds in X.slices(b.column(1)):
                 w, k = X.words(data, bounds, X.SPACED, lower=True), hi - lo
                 at, hit = look(w, k)
+                n_rare = np.bincount(w.owner[~hit], minlength=k)
                 at, owner = at[hit], w.owner[hit]
                 add = lambda x: np.bincount(owner, weights=x[at].astype(float), minlength=k)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, k), pa.array(np.diff(w.first) + 1), pa.array(add(known).astype(np.int64) + (n_train > 0)), pa.array(add(base) + end_base), pa.array(add(model) + end_model)], names=["row", "n_tokens", "n_known", "base", "model"]
+                    [b.column(0).slice(lo, k), b.column(2).slice(lo, k), pa.array(n_rare, pa.int64()), pa.array(np.diff(w.first) + 1), pa.array(add(known).astype(np.int64) + (n_train > 0)), pa.array(add(base) + end_base), pa.array(add(model) + end_model)],
+                    names=["row", "own", "n_rare", "n_tokens", "n_known", "base", "model"],
                 )
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(0).to_numpy()
             for lo, hi, data, bounds in X.slices(b.column(1)):
                 w = X.words(data, bounds, X.SPACED, lower=True)
                 _, hit = look(w, hi - lo)
                 if not hit.all():
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][w.owner[~hit]]), pa.array(w.hash[~hit].view(np.int64))], names=["row", "h"])
+                    owner = pa.array(w.owner[~hit] + lo)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(2).take(owner), pa.array(w.hash[~hit].view(np.int64))], names=["row", "own", "h"])
 
-    text = docs.select(F.col("doc_id").cast("bigint").alias("row"), "text")
-    sums = text.mapInArrow(commons, "row bigint, n_tokens bigint, n_known bigint, base double, model double")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("row"), "text", F.xxhash64("text").alias("own"))
+    sums = text.mapInArrow(commons, "row bigint, own bigint, n_rare bigint, n_tokens bigint, n_known bigint, base double, model double")
     if cut > (steps[-1]["step"] if steps else math.inf):
-        rare = text.mapInArrow(others, "row bigint, h bigint").join(scored(words.where(step < F.lit(cut)) if cut != math.inf else words), "h")
-        rare = rare.groupBy("row").agg(F.sum(F.col("known").cast("bigint")).alias("k2"), F.sum("base").alias("b2"), F.sum("model").alias("m2"))
-        sums = sums.join(rare, "row", "left").select("row", "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base"), (F.col("model") + F.coalesce("m2", F.lit(0.0))).alias("model"))
+        rare = text.mapInArrow(others, "row bigint, own bigint, h bigint").join(scored(words.where(step < F.lit(cut)) if cut != math.inf else words), "h")
+        rare = rare.groupBy(F.col("row").alias("r2"), F.col("own").alias("o2")).agg(F.count("*").alias("all_rare"), F.sum(F.col("known").cast("bigint")).alias("k2"), F.sum("base").alias("b2"), F.sum("model").alias("m2"))
+        # equal rows are one group here, that holds the words of each of them
+        copies = F.col("all_rare") / F.col("n_rare")
+        k2, b2, m2 = (F.coalesce(F.col(c) / copies, F.lit(0.0)) for c in ("k2", "b2", "m2"))
+        sums = sums.join(rare, F.col("row").eqNullSafe(F.col("r2")) & (F.col("own") == F.col("o2")), "left")
+        sums = sums.select("row", "n_tokens", (F.col("n_known") + F.round(k2).cast("bigint")).alias("n_known"), (F.col("base") + b2).alias("base"), (F.col("model") + m2).alias("model"))
     return sums.select(F.col("row").alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))

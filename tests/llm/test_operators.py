@@ -189,6 +189,17 @@ def test_likelihood_counts_and_marginals(spark, docs):
             assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_likelihood_of_repeated_and_null_ids(spark):
+    texts = [t for _, t in corpus(48)]
+    rows = [*enumerate(texts[:40]), *enumerate(texts[:5]), (3, texts[41]), (3, None), (None, texts[42]), (None, texts[42]), (None, texts[43]), (None, None)]
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], round(r[4], 6))
+    few, all_common = (sorted((tuple(r) for r in likelihood.score(frame(spark, rows), F.lit(True), P.path("piece_bpe_32k.model"), common=c).select("doc_id", *columns).collect()), key=order) for c in (40, 500_000))
+    assert len(few) == len(rows)
+    for a, b in zip(few, all_common, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+
+
 def test_lattice_equals_enumeration():
     names = [b"\xe2\x96\x81", "▁ab".encode(), b"a", b"b", b"ab", b"ba", "é".encode()]
     logp = np.log(np.array([0.3, 0.1, 0.2, 0.1, 0.1, 0.1, 0.05]))
