@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns a DataFrame that is written as Parquet and read again as the
 next one's ``docs``.  All but the last return the columns of ``documents``.
+
+Stages decide by row, not by ``doc_id``: rows that share an id or have none are
+documents of their own.  Their order is that of ids, rows without id last, and of
+their contents where ids do not tell.
 """
 
 from __future__ import annotations
@@ -18,34 +22,59 @@ from framelake.llm import decontaminate, ngram_join, packing, quality, queries,
 LEAST_QUALITY = 0.3
 
 
+def _rows(docs: DataFrame, once: bool = False) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_row``, a unique number in the order of documents, and whether that is the id itself; ``once``: equal rows are one."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1):
+        return docs.withColumn("_row", F.col("doc_id").cast("bigint")), True
+    docs = docs.distinct() if once else docs
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
+    # partitions hold rising ranges, so the numbers that Spark gives rise with the order; saved, they stay
+    return storage.saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())), False
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; it learns from labelled documents that are not held out."""
+    """Drops documents that the classifier rejects; it learns from labelled documents that are not held out.
+
+    A label is that of all rows with its id; rows without id have none, and are judged all the same.
+    """
+    rows, by_id = _rows(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, labels, learn_from=queries.crc_of_id() % 5 != 0)
-    kept = storage.saved(scored.where(F.col("score") >= LEAST_QUALITY).select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    learn_from = queries.crc_of_id() % 5 != 0
+    if not by_id:
+        labels = labels.where(learn_from).join(rows.select("doc_id", "_row"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
+        learn_from = F.lit(True)
+    scored = quality.score(_by_row(rows), labels, learn_from=learn_from)
+    kept = storage.saved(scored.where(F.col("score") >= LEAST_QUALITY).select(F.col("doc_id").alias("_row")))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of every group of near duplicates."""
-    grouped = ngram_join.join(docs, n=5, percent=75)
-    kept = storage.saved(grouped.where("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one document, the first, of every group of near duplicates, and one row of rows that are equal in all columns."""
+    rows, _ = _rows(docs, once=True)
+    grouped = ngram_join.join(_by_row(rows), n=5, percent=75)
+    kept = storage.saved(grouped.where("doc_id = component_id").select(F.col("doc_id").alias("_row")))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words and more that an earlier document has; untouched texts stay as they are."""
-    found = storage.saved(substrings.deduplicate(docs, length=50).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]))
+    rows, _ = _rows(docs)
+    found = storage.saved(substrings.deduplicate(_by_row(rows), length=50).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")))
     text = F.when(F.col("_id").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    out = docs.join(found, docs["doc_id"] == found["_id"], "left").withColumn("_text", text)
+    out = rows.join(found, rows["_row"] == found["_id"], "left").withColumn("_text", text)
     return out.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item."""
-    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    bad = storage.saved(hit.where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows, _ = _rows(docs)
+    hit = decontaminate.decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    bad = storage.saved(hit.where("n_hit > 0").select(F.col("doc_id").alias("_row")))
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
