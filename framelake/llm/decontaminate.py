@@ -138,8 +138,8 @@ def _batch(batch: pa.RecordBatch, finders: list[WuManber]) -> Iterator[pa.Record
             starts[t].append(i - int(w.first[t]))
             ends[t].append(j + 1 - int(w.first[t]))
         yield pa.RecordBatch.from_arrays(
-            [ids.slice(lo, k), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(items.get(t, ())) for t in range(k)], pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "starts", "ends", "items"],
+            [ids.slice(lo, k), *(c.slice(lo, k) for c in batch.columns[2:]), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(items.get(t, ())) for t in range(k)], pa.list_(pa.string()))],
+            names=["doc_id", *batch.schema.names[2:], "n_words", "n_hit", "starts", "ends", "items"],
         )
 
 
@@ -147,11 +147,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """One row per row of ``docs``: word count, words hit, hit spans [start, end) and items found.
 
     The benchmark is measured first; beyond ``block_chars`` it is searched for
-    in several passes, each with a part that small, and the parts are joined.
+    in several passes, each with a part that small, and the parts are joined by
+    id and the text's hash: what is found hangs on the text alone.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // block_chars))
+    rows_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    keyed, schema = rows_of.withColumn("own", F.xxhash64("text")), SCHEMA.replace("n_words", "own bigint, n_words", 1)
     out = None
     for part in range(parts):
         rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("item_id").isNotNull())
@@ -162,13 +165,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             for b in batches:
                 yield from _batch(b, shared.value)
 
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
         if parts == 1:
-            return found
-        found = found.where("n_hit > 0")
+            return rows_of.mapInArrow(scan, SCHEMA)
+        found = keyed.mapInArrow(scan, schema).where("n_hit > 0")
         out = found if out is None else out.unionByName(found)
-    spans = out.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
-    items = out.select("doc_id", F.explode("items").alias("i")).groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("items"))
+    spans = out.select("doc_id", "own", F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    items = out.select(F.col("doc_id").alias("i_id"), F.col("own").alias("i_own"), F.explode("items").alias("i")).groupBy("i_id", "i_own").agg(F.sort_array(F.collect_set("i")).alias("items"))
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
@@ -179,9 +181,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         for b in batches:
             yield from _batch(b, [])
 
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, SCHEMA).select("doc_id", "n_words")
-    spans = spans.select("doc_id", merged.alias("m"))
+    base = keyed.mapInArrow(count, schema).select("doc_id", "own", "n_words")
+    spans = spans.select(F.col("doc_id").alias("s_id"), F.col("own").alias("s_own"), merged.alias("m"))
+    same = lambda a, b: F.col(f"{a}_id" if a else "doc_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_own" if a else "own") == F.col(f"{b}_own"))
     n_hit = F.aggregate("m", F.lit(0).cast("bigint"), lambda a, s: a + s["ends"] - s["starts"])
-    return base.join(spans.join(items, "doc_id", "left"), "doc_id", "left").select(
+    return base.join(spans.join(items, same("s", "i"), "left"), same("", "s"), "left").select(
         "doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce(F.col("m.starts"), F.expr("cast(array() as array<bigint>)")).alias("starts"), F.coalesce(F.col("m.ends"), F.expr("cast(array() as array<bigint>)")).alias("ends"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )
