@@ -10,8 +10,9 @@ Documents are read in many lanes at once, so the jumps are array operations.
 
 Cases: null or empty text has no words and no hits; a benchmark without words
 (or an empty table) hits nothing; repeated items, windows that several items
-share and repeated document rows each keep their own results; other columns of
-``docs`` are not looked at.
+share and repeated document rows each keep their own results; an item without
+id marks words as hit but adds no item; other columns of ``docs`` are not looked
+at.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class WuManber:
         return (start[same], which[same]) if len(same) else none
 
 
-def searches(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
+def searches(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
     """One search for each window length that the items give."""
     by: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
@@ -106,7 +107,9 @@ def searches(items: list[tuple[str, str | None]], window: int) -> list[WuManber]
             every = [w.word(i) for i in range(len(w.hash))]
             size = min(window, len(every))
             for i in range(len(every) - size + 1 if size else 0):
-                by.setdefault(size, {}).setdefault(tuple(every[i : i + size]), set()).add(item)
+                owners = by.setdefault(size, {}).setdefault(tuple(every[i : i + size]), set())
+                if item is not None:
+                    owners.add(item)
     return [WuManber(list(x), [sorted(o) for o in x.values()]) for _, x in sorted(by.items())]
 
 
@@ -157,8 +160,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     keyed, schema = rows_of.withColumn("own", F.xxhash64("text")), SCHEMA.replace("n_words", "own bigint, n_words", 1)
     out = None
     for part in range(parts):
-        rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("item_id").isNotNull())
-        rows = rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else rows
+        rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+        rows = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
         shared = spark.sparkContext.broadcast(searches([tuple(r) for r in rows.collect()], window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -35,3 +35,11 @@ def expected(items):
 def test_rows_keep_their_own_hits(spark, block_chars):
     items = [(k, " ".join(WORDS[5 * k : 5 * k + 12])) for k in range(9)]
     assert found(spark, items, block_chars) == expected(items)
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 30])
+def test_items_without_id_hit_words(spark, block_chars):
+    items = [(None, " ".join(WORDS[2:16])), (None, " ".join(WORDS[32:44])), (4, " ".join(WORDS[10:24])), (4, " ".join(WORDS[45:58])), (None, None)]
+    want = expected([x for x in items if x[1]])
+    assert any(r[2] and not r[5] for r in want)
+    assert found(spark, items, block_chars) == want
