@@ -23,8 +23,9 @@ come cannot lift them over the bound that their sizes set.
 
 Cases: null or empty text has an empty set and its own component; fewer words
 than ``n`` give one n-gram of them all; repeated rows share a component, and a
-repeated id counts as the rows it has; an empty table gives no rows; other
-columns are not looked at.
+repeated id counts as the rows it has; rows without id link like any others, but
+name no component: its id is null where none of its rows has one; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -310,22 +311,33 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     size = groups.groupBy("component").agg(F.count("*").alias("rows"))
     blocks = F.greatest(F.least(F.ceil(F.col("rows") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("rows") / LARGEST)).cast("int")
     members = saved(groups.join(size, "component").withColumn("blocks", blocks).join(first, F.col("node") == F.col("sig")).select("sig", "rep", "component", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")))
-    wanted = docs.sparkSession.sparkContext.broadcast(membership(members, "rep", members.count()))
+    # columns come from the row with a signature's smallest id; where all its rows lack one, from any, once a task
+    named, unnamed = members.where("rep is not null"), members.where("rep is null")
+    wanted = docs.sparkSession.sparkContext.broadcast((membership(named, "rep", named.count()), membership(unnamed, "sig", unnamed.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, signatures = wanted.value
+        sent: set[int] = set()
         for b in batches:
             if b.num_rows:
-                b = b.filter(pa.array(wanted.value(b.column(0).fill_null(-1).to_numpy())))
+                b = b.filter(pa.array(b.column(0).is_null().to_numpy(zero_copy_only=False) | ids(b.column(0).fill_null(-1).to_numpy())))
             for lo, hi, w in _read(b.column(1)):
                 h, _, bounds = sets(w, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(_signatures(h, bounds))], names=["rep", "columns", "own"])
-
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pick, "rep bigint, columns binary, own bigint")
-    found = members.join(found, "rep").where("own = sig")
+                own, lacks = _signatures(h, bounds), b.column(0).slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
+                use = ~lacks | signatures(own)
+                for k in np.flatnonzero(use & lacks).tolist():
+                    use[k] = own[k] not in sent
+                    sent.add(int(own[k]))
+                use = np.flatnonzero(use)
+                yield pa.RecordBatch.from_arrays([pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in use.tolist()], pa.binary()), pa.array(own[use])], names=["columns", "own"])
+
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pick, "columns binary, own bigint")
+    found = members.join(found, F.col("sig") == F.col("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = found.select("sig", "component", "block", "columns", other.alias("other")).select("sig", "block", "columns", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
     def multiply(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table["sig"].to_numpy(), return_index=True)[1]))  # a signature may come from several rows
         links = block_links(table["sig"].to_numpy(), table["columns"].to_pylist(), table["block"].to_numpy(), percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
