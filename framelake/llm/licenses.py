@@ -7,7 +7,8 @@ vocabulary reset it, so only runs of licence words are streamed.  Runs that
 cannot be lengthened are matches; long ones are chained, template by template,
 in the order of both texts, and a chain that covers enough of its template
 gives the template's label.  Short phrases are templates too: every place where
-one stands whole is counted.
+one stands whole is counted.  A template of fewer words than the shortest match
+stands whole or not at all.
 
 Cases: null or empty text has no words and no places; overlapping and repeated
 phrases all count; a text that is one long template, or very long, is streamed
@@ -108,9 +109,12 @@ class Scanner:
         code = code.tolist()
         self.size = np.diff(w.first).tolist()
         self.automaton = a = Automaton([code[i:j] for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)])
-        # whole phrases that end where a state's runs end: (label, words)
+        # whole phrases, and templates too short for a match, that end where a state's runs end: (number, words)
         self.whole: list[list[tuple[int, int]]] = [[] for _ in a.link]
-        for k in range(self.n_phrases):
+        entire = [k for k, n in enumerate(self.size) if n and (k < self.n_phrases or n < SHORTEST)]
+        #: Words of the shortest run that can hold a place or a match.
+        self.least = min([SHORTEST, *(self.size[k] for k in entire)])
+        for k in entire:
             state = 0
             for c in code[w.first[k] : w.first[k + 1]]:
                 state = a.next[state][c]
@@ -151,14 +155,17 @@ class Scanner:
         out = []
         for s, found in by.items():
             found.sort()
-            open_chains: list[list] = []  # covered, first, end, template end
+            every: list[tuple] = []  # covered, first, end
+            ends: dict[tuple[int, int], tuple] = {}  # the best chain of each end in the text and in the template
             for a, b, t in found:
-                best = None
-                for c in open_chains[-16:]:
-                    if c[2] <= a <= c[2] + SKIP and c[3] <= t <= c[3] + SKIP and (best is None or c[0] > best[0]):
-                        best = c
-                open_chains.append([(best[0] if best else 0) + b - a, best[1] if best else a, b, t + b - a])
-            for c in open_chains:
+                near = [c for x in range(a - SKIP, a + 1) for y in range(t - SKIP, t + 1) if (c := ends.get((x, y)))]
+                best = max(near, key=lambda c: (c[0], -c[1]), default=None)
+                chain = ((best[0] if best else 0) + b - a, best[1] if best else a, b)
+                every.append(chain)
+                at = b, t + b - a
+                if at not in ends or chain[0] > ends[at][0]:
+                    ends[at] = chain
+            for c in every:
                 if c[0] >= COVERED * self.size[s]:
                     out.append((self.labels[s], c[1], c[2], c[0] / self.size[s]))
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
@@ -178,17 +185,18 @@ def _batch(batch: pa.RecordBatch, scanner: Scanner) -> Iterator[pa.RecordBatch]:
             edge[w.first] = True
             start = np.flatnonzero(known & (~np.concatenate([[False], known[:-1]]) | edge[:-1]))
             end = np.flatnonzero(known & (~np.concatenate([known[1:], [False]]) | edge[1:])) + 1
-            long = end - start >= 2
+            long = end - start >= scanner.least
             text = np.searchsorted(w.first, start, "right") - 1
             held: dict[int, list] = {}
             for a, b, t in zip(start[long].tolist(), end[long].tolist(), text[long].tolist(), strict=True):
                 at = a - int(w.first[t])
                 p, m = scanner.scan(code[a:b].tolist())
-                places[t].extend((x, at + i) for x, i in p)
+                places[t].extend((x, at + i) for x, i in p if x < scanner.n_phrases)
+                spans[t].extend((scanner.labels[x], at + i, at + i + scanner.size[x], 1.0) for x, i in p if x >= scanner.n_phrases)
                 if m:
                     held.setdefault(t, []).extend((s, at + i, at + j) for s, i, j in m)
             for t, m in held.items():
-                spans[t] = scanner.chains(m)
+                spans[t] = sorted({*spans[t], *scanner.chains(m)}, key=lambda x: (x[1], x[2], x[0]))
         base = [sorted({scanner.labels[x] for x, _ in p}) for p in places]
         yield pa.RecordBatch.from_arrays(
             [
