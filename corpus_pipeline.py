@@ -16,24 +16,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, ngram_join, packing, quality, queries, storage, substrings
+from framelake.llm import decontaminate, graph, ngram_join, packing, quality, queries, storage, substrings
 
 #: Documents scored below this are rejected.
 LEAST_QUALITY = 0.3
 
 
-def _rows(docs: DataFrame, once: bool = False) -> tuple[DataFrame, bool]:
-    """``docs`` with ``_row``, a unique number in the order of documents, and whether that is the id itself; ``once``: equal rows are one."""
+def _rows(docs: DataFrame, once: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` with a unique number in the order of documents, and that column's name; ``once``: equal rows are one."""
+    row = graph.fresh(docs.columns, "row")
     if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1):
-        return docs.withColumn("_row", F.col("doc_id").cast("bigint")), True
+        return docs.withColumn(row, F.col("doc_id").cast("bigint")), row
     docs = docs.distinct() if once else docs
     order = (F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
     # partitions hold rising ranges, so the numbers that Spark gives rise with the order; saved, they stay
-    return storage.saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())), False
+    return storage.saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())), row
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+def _by_row(rows: DataFrame, row: str) -> DataFrame:
+    return rows.select(F.col(row).alias("doc_id"), "text")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,40 +42,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A label is that of all rows with its id; rows without id have none, and are judged all the same.
     """
-    rows, by_id = _rows(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    learn_from = queries.crc_of_id() % 5 != 0
-    if not by_id:
-        labels = labels.where(learn_from).join(rows.select("doc_id", "_row"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
-        learn_from = F.lit(True)
-    scored = quality.score(_by_row(rows), labels, learn_from=learn_from)
-    kept = storage.saved(scored.where(F.col("score") >= LEAST_QUALITY).select(F.col("doc_id").alias("_row")))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.crc_of_id() % 5 != 0, LEAST_QUALITY)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the first, of every group of near duplicates, and one row of rows that are equal in all columns."""
-    rows, _ = _rows(docs, once=True)
-    grouped = ngram_join.join(_by_row(rows), n=5, percent=75)
-    kept = storage.saved(grouped.where("doc_id = component_id").select(F.col("doc_id").alias("_row")))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows, row = _rows(docs, once=True)
+    grouped = ngram_join.join(_by_row(rows, row), n=5, percent=75)
+    later = storage.saved(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(row)))
+    return graph.without(rows, row, later).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words and more that an earlier document has; untouched texts stay as they are."""
-    rows, _ = _rows(docs)
-    found = storage.saved(substrings.deduplicate(_by_row(rows), length=50).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")))
-    text = F.when(F.col("_id").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    out = rows.join(found, rows["_row"] == found["_id"], "left").withColumn("_text", text)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, row = _rows(docs)
+    out = substrings.clean(rows, row, length=50)
+    return out.select(*[F.coalesce(F.length("text").cast(docs.schema[c].dataType), c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item."""
-    rows, _ = _rows(docs)
-    hit = decontaminate.decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    bad = storage.saved(hit.where("n_hit > 0").select(F.col("doc_id").alias("_row")))
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

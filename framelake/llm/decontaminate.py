@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .storage import saved
 
 #: Characters of benchmark text searched for in one pass; larger benchmarks take several.
 BLOCK_CHARS = 4_000_000
@@ -35,23 +37,46 @@ SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, starts array<bigint>, end
 
 
 class WuManber:
-    """Search for many word sequences of one length."""
+    """Search for many word sequences of one length, given by their first places in a text's words."""
 
-    def __init__(self, patterns: list[tuple[bytes, ...]], owners: list[list[str]]):
-        self.patterns, self.owners = patterns, owners
-        self.m = m = len(patterns[0])
+    def __init__(self, w: X.Words, m: int, at: np.ndarray, item: np.ndarray, names: list[str | None]):
+        self.m, self.names = m, names
         self.block = min(2, m)
-        joined = [b" ".join(p) for p in patterns]
-        data = np.frombuffer(b"".join(joined), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in joined])]).astype(np.int64)
-        self.words = X.words(data, bounds, X.ALNUM).hash.reshape(len(patterns), m)
+        # equal windows are one pattern; its items follow one another
+        every = w.hash[at[:, None] + np.arange(m)]
+        order = np.lexsort((item, *every.T[::-1]))
+        at, item, every = at[order], item[order], every[order]
+        fresh = np.concatenate([[True], (every[1:] != every[:-1]).any(1)])
+        first = np.flatnonzero(fresh)
+        self.words, self.item = every[first], item
+        self.first_item = np.append(first, len(item))
+        begin, end = w.start[at[first, None] + np.arange(m)], w.end[at[first, None] + np.arange(m)]
+        self.begin, self.size = begin.astype(np.int32), (end - begin).astype(np.int32)
+        self.data = w.data
         self.shift = np.full(_TABLE, m - self.block + 1, np.int32)
-        for end in range(self.block - 1, m):
-            np.minimum.at(self.shift, (self._blocks(self.words, end) & np.uint64(_TABLE - 1)).astype(np.int64), m - 1 - end)
+        for stop in range(self.block - 1, m):
+            np.minimum.at(self.shift, (self._blocks(self.words, stop) & np.uint64(_TABLE - 1)).astype(np.int64), m - 1 - stop)
         last = self._blocks(self.words, m - 1)
         self.order = np.argsort(last, kind="stable")
         self.suffix = last[self.order]
 
+    def items(self, pattern: int) -> list[str]:
+        """Names of the items that have a pattern; one without a name adds none."""
+        return [n for i in set(self.item[self.first_item[pattern] : self.first_item[pattern + 1]].tolist()) if (n := self.names[i]) is not None]
+
+    def _equal(self, w: X.Words, start: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the words from ``start`` on are, byte by byte, those of the pattern."""
+        ok = np.ones(len(start), bool)
+        for j in range(self.m):
+            ok &= w.end[start + j] - w.start[start + j] == self.size[which, j]
+        for j in range(self.m):
+            live = np.flatnonzero(ok)
+            size = self.size[which[live], j].astype(np.int64)
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            differ = w.data[np.repeat(w.start[start[live] + j], size) + within] != self.data[np.repeat(self.begin[which[live], j].astype(np.int64), size) + within]
+            ok[live[np.repeat(np.arange(len(live)), size)[differ]]] = False
+        return ok
+
     def _blocks(self, words: np.ndarray, end: int) -> np.ndarray:
         return words[:, end] if self.block == 1 else self._pair(words[:, end - 1], words[:, end])
 
@@ -94,23 +119,25 @@ class WuManber:
         for j in range(m):
             ok &= w.hash[start + j] == self.words[which, j]
         start, which = start[ok], which[ok]
-        same = np.array([all(w.word(s + j) == x for j, x in enumerate(self.patterns[p])) for s, p in zip(start.tolist(), which.tolist(), strict=True)], bool)
-        return (start[same], which[same]) if len(same) else none
-
-
-def searches(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
-    """One search for each window length that the items give."""
-    by: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        for _, _, data, bounds in X.slices(pa.array([text], pa.string())):
-            w = X.words(data, bounds, X.ALNUM, lower=True)
-            every = [w.word(i) for i in range(len(w.hash))]
-            size = min(window, len(every))
-            for i in range(len(every) - size + 1 if size else 0):
-                owners = by.setdefault(size, {}).setdefault(tuple(every[i : i + size]), set())
-                if item is not None:
-                    owners.add(item)
-    return [WuManber(list(x), [sorted(o) for o in x.values()]) for _, x in sorted(by.items())]
+        same = self._equal(w, start, which)
+        return start[same], which[same]
+
+
+def searches(items: pa.Table, window: int) -> list[WuManber]:
+    """One search for each window length that the items (item, text) give."""
+    if not items.num_rows:
+        return []
+    (_, _, data, bounds), = X.slices(items["text"], 1 << 40)
+    w = X.words(data, bounds, X.ALNUM, lower=True)
+    count = np.diff(w.first)
+    size, owner = np.minimum(count, window), w.owner
+    starts = np.arange(len(owner)) + size[owner] <= w.first[1:][owner] if len(owner) else np.zeros(0, bool)
+    names = items["item"].to_pylist()
+    out = []
+    for m in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(starts & (size[owner] == m))
+        out.append(WuManber(w, m, at, owner[at], names))
+    return out
 
 
 def _batch(batch: pa.RecordBatch, finders: list[WuManber]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +153,7 @@ def _batch(batch: pa.RecordBatch, finders: list[WuManber]) -> Iterator[pa.Record
             np.add.at(cover, start + f.m, -1)
             text = np.searchsorted(w.first, start, "right") - 1
             for t, p in set(zip(text.tolist(), which.tolist(), strict=True)):
-                items.setdefault(t, set()).update(f.owners[p])
+                items.setdefault(t, set()).update(f.items(p))
         hit = np.cumsum(cover[:n]) > 0
         owner = w.owner
         n_hit = np.bincount(owner[hit], minlength=k)
@@ -146,6 +173,40 @@ def _batch(batch: pa.RecordBatch, finders: list[WuManber]) -> Iterator[pa.Record
         )
 
 
+def _parts(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[tuple[bool, Broadcast]]:
+    """The searches for each part of the benchmark, and whether it is all of it; the driver holds one part at a time."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // block_chars))
+    for part in range(parts):
+        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
+        shared = spark.sparkContext.broadcast(searches(own.toArrow(), window))
+        yield parts == 1, shared
+        if parts > 1:
+            shared.destroy()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, without any window of the benchmark; each is judged where it stands."""
+    at = docs.columns.index("text")
+
+    for whole, shared in _parts(benchmark, window, block_chars):
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, hi, data, bounds in X.slices(b.column(at)):
+                    w = X.words(data, bounds, X.ALNUM, lower=True)
+                    good = np.ones(hi - lo, bool)
+                    for f in shared.value:
+                        good[np.searchsorted(w.first, f.places(w)[0], "right") - 1] = False
+                    yield b.slice(lo, hi - lo).filter(pa.array(good))
+
+        docs = docs.transform(X.streamed(judge, docs.schema))
+        docs = docs if whole else saved(docs)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs``: word count, words hit, hit spans [start, end) and items found.
 
@@ -153,24 +214,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     in several passes, each with a part that small, and the parts are joined by
     id and the text's hash: what is found hangs on the text alone.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // block_chars))
     rows_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keyed, schema = rows_of.withColumn("own", F.xxhash64("text")), SCHEMA.replace("n_words", "own bigint, n_words", 1)
     out = None
-    for part in range(parts):
-        rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-        rows = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else rows
-        shared = spark.sparkContext.broadcast(searches([tuple(r) for r in rows.collect()], window))
+    for whole, shared in _parts(benchmark, window, block_chars):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield from _batch(b, shared.value)
 
-        if parts == 1:
-            return rows_of.mapInArrow(scan, SCHEMA)
-        found = keyed.mapInArrow(scan, schema).where("n_hit > 0")
+        if whole:
+            return rows_of.transform(X.streamed(scan, SCHEMA))
+        found = saved(keyed.transform(X.streamed(scan, schema)).where("n_hit > 0"))
         out = found if out is None else out.unionByName(found)
     spans = out.select("doc_id", "own", F.explode(F.arrays_zip("starts", "ends")).alias("s")).groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     items = out.select(F.col("doc_id").alias("i_id"), F.col("own").alias("i_own"), F.explode("items").alias("i")).groupBy("i_id", "i_own").agg(F.sort_array(F.collect_set("i")).alias("items"))
@@ -184,7 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         for b in batches:
             yield from _batch(b, [])
 
-    base = keyed.mapInArrow(count, schema).select("doc_id", "own", "n_words")
+    base = keyed.transform(X.streamed(count, schema)).select("doc_id", "own", "n_words")
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("own").alias("s_own"), merged.alias("m"))
     same = lambda a, b: F.col(f"{a}_id" if a else "doc_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_own" if a else "own") == F.col(f"{b}_own"))
     n_hit = F.aggregate("m", F.lit(0).cast("bigint"), lambda a, s: a + s["ends"] - s["starts"])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as X
 from .storage import saved
 
 #: Bits of the largest membership filter that is sent to tasks.
@@ -65,8 +67,6 @@ def membership(values: DataFrame, column: str, n: int, most_bits: int = MOST_BIT
     It lets through some others, more of them once the values outgrow the
     largest filter; whoever uses it must stay right whatever passes.
     """
-    import pyarrow as pa
-
     bits = 1 << 16
     while bits < min(n * 16, most_bits):
         bits *= 2
@@ -82,8 +82,44 @@ def membership(values: DataFrame, column: str, n: int, most_bits: int = MOST_BIT
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(at + lo, pa.int32()), pa.array(part[at].view(np.int64))], names=["w", "b"])
 
-    got = values.select(F.col(column).cast("bigint")).mapInArrow(run, "w int, b bigint").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    got = values.select(F.col(column).cast("bigint")).transform(X.streamed(run, "w int, b bigint")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     if got.num_rows:
         words[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return Filter(words)
+
+
+def split(rows: DataFrame, column: str, values: Filter) -> tuple[DataFrame, DataFrame]:
+    """Rows whose bigint ``column`` may be among the values, and rows where it surely is not (null never is); all columns stay.
+
+    The rows are read once for each part.
+    """
+
+    def part(side: bool):
+        def run(batches: X.Batches) -> X.Batches:
+            for b in batches:
+                if b.num_rows:
+                    v = b.column(b.schema.get_field_index(column))
+                    mark = values.value(v.fill_null(0).to_numpy()) & v.is_valid().to_numpy(zero_copy_only=False)
+                    yield b.filter(pa.array(mark == side))
+
+        return rows.transform(X.streamed(run, rows.schema))
+
+    values = rows.sparkSession.sparkContext.broadcast(values)
+    return part(True), part(False)
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose bigint ``column`` is not in the like column of ``gone``; only rows that a filter of those lets through are dealt."""
+    name = fresh(rows.columns, "gone")
+    gone = gone.select(F.col(column).alias(name)).distinct()
+    doubtful, sure = split(rows, column, membership(gone, name, gone.count()))
+    return sure.unionByName(doubtful.join(gone, F.col(column) == F.col(name), "left_anti"))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that none of ``taken`` has, in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -219,4 +219,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
         for b in batches:
             yield from _batch(b, scanner)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(run, SCHEMA))

@@ -145,7 +145,7 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
         if held:
             yield flush()
 
-    rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("t")).mapInArrow(run, "h bigint, word binary, c bigint, every bigint")
+    rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("t")).transform(X.streamed(run, "h bigint, word binary, c bigint, every bigint"))
     return rows.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
@@ -165,7 +165,7 @@ def piece_counts(words: DataFrame, model_path: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "n"])
 
-    got = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    got = words.where("c > 0").select("word", "c").transform(X.streamed(run, "piece int, n double")).groupBy("piece").agg(F.sum("n").alias("n")).collect()
     import sentencepiece
 
     out = np.zeros(sentencepiece.SentencePieceProcessor(model_file=model_path).get_piece_size())
@@ -202,7 +202,7 @@ def lattice(words: DataFrame, pieces) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marginals(b.column(1).to_pylist(), pieces.value) / math.log(10))], names=["h", "c", "sub"])
 
-    return words.select("h", "word", "c").mapInArrow(run, "h bigint, c bigint, sub double")
+    return words.select("h", "word", "c").transform(X.streamed(run, "h bigint, c bigint, sub double"))
 
 
 def score(docs: DataFrame, training: Column, model_path: str, common: int = COMMON) -> DataFrame:
@@ -276,9 +276,9 @@ def score(docs: DataFrame, training: Column, model_path: str, common: int = COMM
                     yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(2).take(owner), pa.array(w.hash[~hit].view(np.int64))], names=["row", "own", "h"])
 
     text = docs.select(F.col("doc_id").cast("bigint").alias("row"), "text", F.xxhash64("text").alias("own"))
-    sums = text.mapInArrow(commons, "row bigint, own bigint, n_rare bigint, n_tokens bigint, n_known bigint, base double, model double")
+    sums = text.transform(X.streamed(commons, "row bigint, own bigint, n_rare bigint, n_tokens bigint, n_known bigint, base double, model double"))
     if cut > (steps[-1]["step"] if steps else math.inf):
-        rare = text.mapInArrow(others, "row bigint, own bigint, h bigint").join(scored(words.where(step < F.lit(cut)) if cut != math.inf else words), "h")
+        rare = text.transform(X.streamed(others, "row bigint, own bigint, h bigint")).join(scored(words.where(step < F.lit(cut)) if cut != math.inf else words), "h")
         rare = rare.groupBy(F.col("row").alias("r2"), F.col("own").alias("o2")).agg(F.count("*").alias("all_rare"), F.sum(F.col("known").cast("bigint")).alias("k2"), F.sum("base").alias("b2"), F.sum("model").alias("m2"))
         # equal rows are one group here, that holds the words of each of them
         copies = F.col("all_rare") / F.col("n_rare")

@@ -121,7 +121,7 @@ def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
         return pa.table({"part": table["part"][:1], "counts": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())})
 
     schema = "part int, counts binary"
-    got = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    got = docs.select("text").transform(X.streamed(count, schema)).groupBy("part").applyInArrow(add, schema).toArrow()
     out = np.full(counters, 128, np.uint8)
     for part, rank in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
         out[part * COUNTER_ROW : (part + 1) * COUNTER_ROW] = np.frombuffer(zlib.decompress(rank), np.uint8)
@@ -137,7 +137,7 @@ def _rows(docs: DataFrame, n: int) -> DataFrame:
                 h, _, bounds = sets(w, n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(_signatures(h, bounds))], names=["doc_id", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, sig bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(run, "doc_id bigint, n bigint, sig bigint"))
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 h, last, s = h[keep], last[keep], sig[who[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(last, 1 + (s.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int32)), pa.array(s)], names=["h", "salt", "sig"])
 
-    return docs.select("text").mapInArrow(run, "h bigint, salt int, sig bigint")
+    return docs.select("text").transform(X.streamed(run, "h bigint, salt int, sig bigint"))
 
 
 def _within_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def candidate_groups(docs: DataFrame, rows: DataFrame, n: int, percent: int) ->
     which both rows are tied may add to what was counted.
     """
     sorted_rows = _prefixes(docs, n, percent).repartition("h", "salt").sortWithinPartitions("h", "salt", "sig")
-    tied = saved(sorted_rows.mapInArrow(_within_columns, "a bigint, b bigint, kind int").groupBy("kind", "a", "b").agg(F.count("*").alias("n")))
+    tied = saved(sorted_rows.transform(X.streamed(_within_columns, "a bigint, b bigint, kind int")).groupBy("kind", "a", "b").agg(F.count("*").alias("n")))
     size = saved(rows.where("n > 0").select("sig", "n").distinct())
     often = tied.where("kind = 3").select(F.col("a").alias("sig"), F.col("n").alias("often"))
     info = saved(size.join(often, "sig", "left").select("sig", F.col("n").alias("size"), F.coalesce("often", F.lit(0)).alias("often")))
@@ -305,7 +305,7 @@ def block_links(sig: np.ndarray, blobs: list[bytes], block: np.ndarray, percent:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest reachable id) for every row of ``docs``."""
-    rows = saved(_rows(docs, n))
+    rows = saved(_rows(docs, n), narrow=True)
     first = saved(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     groups = saved(candidate_groups(docs, rows, n, percent))
     size = groups.groupBy("component").agg(F.count("*").alias("rows"))
@@ -331,7 +331,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
                 use = np.flatnonzero(use)
                 yield pa.RecordBatch.from_arrays([pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in use.tolist()], pa.binary()), pa.array(own[use])], names=["columns", "own"])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pick, "columns binary, own bigint")
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(pick, "columns binary, own bigint"))
     found = members.join(found, F.col("sig") == F.col("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = found.select("sig", "component", "block", "columns", other.alias("other")).select("sig", "block", "columns", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))

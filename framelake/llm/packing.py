@@ -276,4 +276,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
                     yield from packer.run(last=False)
         yield from packer.run(last=True)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, WITH_IDS if with_ids else SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(run, WITH_IDS if with_ids else SCHEMA))

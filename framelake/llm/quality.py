@@ -16,6 +16,7 @@ gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def features_of(docs: DataFrame) -> DataFrame:
                 m = statistics(data, bounds)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(m[:, j]) for j in range(m.shape[1]))], names=["doc_id", *STATISTICS])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(run, schema))
 
 
 class Kernel:
@@ -118,7 +119,7 @@ def _summed(rows: DataFrame, kernel: Kernel) -> np.ndarray:
         rows = np.stack([np.asarray(v) for v in table["v"].to_pylist()])
         return pa.table({"i": table["i"][:1], "v": pa.array([rows.sum(0)], pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(part, schema).groupBy("i").applyInArrow(add, schema).toArrow()
+    got = rows.transform(X.streamed(part, schema)).groupBy("i").applyInArrow(add, schema).toArrow()
     n = FEATURES + 2
     out = np.zeros((n, n))
     for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist(), strict=True):
@@ -137,13 +138,25 @@ def isotonic(value: np.ndarray, count: np.ndarray, positive: np.ndarray) -> tupl
     return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality") -> DataFrame:
-    """doc_id and score (0 to 1, higher: label 1 likelier) for every row of ``docs``.
+@dataclass
+class Model:
+    """What training gives: the kernel, its weights and the calibration curve; or one rate, where there is nothing to tell apart."""
 
-    ``learn_from`` says, by ``doc_id``, which labelled documents may teach.
-    """
-    spark = docs.sparkSession
-    rows = saved(features_of(docs))
+    rate: float
+    kernel: Kernel | None = None
+    weights: np.ndarray | None = None
+    raw: np.ndarray | None = None
+    risen: np.ndarray | None = None
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Scores of rows of STATISTICS."""
+        if self.kernel is None:
+            return np.full(batch.num_rows, self.rate)
+        return np.interp(self.kernel(batch) @ self.weights, self.raw, self.risen)
+
+
+def _fit(rows: DataFrame, labels: DataFrame, learn_from: Column, label: str) -> Model:
+    """A model from the statistics of all documents, standardised over all of them, and the labels that may teach."""
     moments = rows.agg(*[F.avg(c) for c in STATISTICS], *[F.stddev_pop(c) for c in STATISTICS]).first()
     values = np.array([0.0 if v is None else v for v in moments], float)
     kernel = Kernel(values[: len(STATISTICS)], values[len(STATISTICS) :])
@@ -152,27 +165,49 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     m = _summed(known, kernel)
     n, ones = m[0, 0], m[0, -1]
     if not 0 < ones < n:
-        rate = ones / n if n else 0.5
-        return rows.select("doc_id", F.lit(float(rate)).alias("score"))
+        return Model(float(ones / n) if n else 0.5)
     a = m[:-1, :-1] + np.diag([1e-9, *([RIDGE * n / FEATURES] * FEATURES)])
     weights = np.linalg.solve(a, m[:-1, -1])
-    shared = spark.sparkContext.broadcast((kernel, weights))
 
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, weights = shared.value
+    def raw(batches: X.Batches) -> X.Batches:
         for b in batches:
             y = b.column(b.schema.get_field_index("label"))
             yield pa.RecordBatch.from_arrays([pa.array(kernel(b) @ weights), y], names=["raw", "label"])
 
     bin_of = F.floor((F.least(F.greatest(F.col("raw"), F.lit(-0.5)), F.lit(1.5)) + 0.5) * (BINS / 2)).cast("int")
-    got = known.mapInArrow(raw, "raw double, label double").groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.sum("raw").alias("s")).orderBy("bin").collect()
+    got = known.transform(X.streamed(raw, "raw double, label double")).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.sum("raw").alias("s")).orderBy("bin").collect()
     count = np.array([r["n"] for r in got], float)
-    knots = spark.sparkContext.broadcast(isotonic(np.array([r["s"] for r in got]) / count, count, np.array([r["p"] for r in got])))
+    return Model(float(ones / n), kernel, weights, *isotonic(np.array([r["s"] for r in got]) / count, count, np.array([r["p"] for r in got])))
+
+
+def score(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality") -> DataFrame:
+    """doc_id and score (0 to 1, higher: label 1 likelier) for every row of ``docs``.
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, weights = shared.value
-        x, y = knots.value
+    ``learn_from`` says, by ``doc_id``, which labelled documents may teach.
+    """
+    rows = saved(features_of(docs), narrow=True)
+    model = _fit(rows, labels, learn_from, label)
+
+    def final(batches: X.Batches) -> X.Batches:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(np.interp(kernel(b) @ weights, x, y))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(model(b))], names=["doc_id", "score"])
+
+    return rows.transform(X.streamed(final, "doc_id bigint, score double"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, learn_from: Column, least: float, label: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` at least.
+
+    Every row is judged where it stands, on its text alone, so nothing is
+    joined or dealt: rows that share an id, or have none, are judged each.
+    """
+    model = _fit(saved(features_of(docs), narrow=True), labels, learn_from, label)
+
+    def judge(batches: X.Batches) -> X.Batches:
+        for b in batches:
+            for lo, hi, data, bounds in X.slices(b.column(b.schema.get_field_index("text"))):
+                m = statistics(data, bounds)
+                good = model(pa.RecordBatch.from_arrays([pa.array(m[:, j]) for j in range(m.shape[1])], names=STATISTICS)) >= least
+                yield b.slice(lo, hi - lo).filter(pa.array(good))
 
-    return rows.mapInArrow(final, "doc_id bigint, score double")
+    return docs.transform(X.streamed(judge, docs.schema))

@@ -39,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .graph import membership
+from .graph import fresh, membership, split
 from .storage import saved
 
 #: Words of a reference in one automaton.
@@ -108,7 +109,7 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
                 anchor, whole, owner, _, _ = spans(w, length)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[owner].astype(np.int64))], names=["anchor", "span", "doc"])
 
-    rows = docs.mapInArrow(run, "anchor bigint, span bigint, doc bigint")
+    rows = docs.transform(X.streamed(run, "anchor bigint, span bigint, doc bigint"))
     found = rows.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("span").alias("s1"), F.max("span").alias("s2"))
     return saved(found.where("low < high").select("anchor", (F.col("s1") != F.col("s2")).alias("differ")))
 
@@ -135,7 +136,7 @@ def candidate_rows(docs: DataFrame, length: int) -> DataFrame:
                 n = np.concatenate([count[one], np.ones(len(at), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[texts].astype(np.int64)), pa.array((place - w.first[texts]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "doc", "pos", "n"])
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, pos int, n int")
+    return docs.transform(X.streamed(run, "key bigint, doc bigint, pos int, n int"))
 
 
 def passages(docs: DataFrame, length: int) -> DataFrame:
@@ -164,7 +165,7 @@ def passages(docs: DataFrame, length: int) -> DataFrame:
     def to(x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[3]), pa.array(x[1]), pa.array(x[2] + (length - 1))], names=["doc", "ref", "start", "stop"])
 
-    return saved(found.mapInArrow(merge, "doc bigint, ref bigint, start bigint, stop bigint"))
+    return saved(found.transform(X.streamed(merge, "doc bigint, ref bigint, start bigint, stop bigint")))
 
 
 class SuffixAutomaton:
@@ -260,7 +261,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(wanted.value(b.column(0).to_numpy())))
 
-    texts = docs.mapInArrow(pick, "doc bigint, text string")
+    texts = docs.transform(X.streamed(pick, "doc bigint, text string"))
     listed = runs.groupBy("doc").agg(F.collect_list(F.struct("ref", "start", "stop")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
                 out.extend((doc, r["ref"], r["start"], b" ".join(words[r["start"] : r["stop"]]).decode()) for r in its)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc", "ref", "start", "words"])
 
-    cuts = saved(texts.join(listed, "doc").mapInArrow(cut, "doc bigint, ref bigint, start bigint, words string"))
+    cuts = saved(texts.join(listed, "doc").transform(X.streamed(cut, "doc bigint, ref bigint, start bigint, words string")))
     # a reference with many passages to check is dealt in shares, each with its own copy of the reference
     shares = saved(cuts.where("doc > ref").groupBy("ref").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).withColumnRenamed("ref", "to"))
     dealt = cuts.join(shares, F.col("ref") == F.col("to"))
@@ -302,7 +303,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
                 held = last if n == 1 else None
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["doc", "start", "stop"])
 
-    return dealt.mapInArrow(stream, "doc bigint, start bigint, stop bigint")
+    return dealt.transform(X.streamed(stream, "doc bigint, start bigint, stop bigint"))
 
 
 def _automata(texts: list[str], length: int) -> Iterator[SuffixAutomaton]:
@@ -313,41 +314,60 @@ def _automata(texts: list[str], length: int) -> Iterator[SuffixAutomaton]:
         yield a
 
 
-def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the remaining words, one space between) for every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    known = rows.where("doc is not null")
-    removed = saved(repeated(known, length))
-    touched = docs.sparkSession.sparkContext.broadcast(membership(removed.select("doc").distinct(), "doc", removed.count()))
+def _cut(batch: pa.RecordBatch, text: int, runs: int | None) -> tuple[list[int], list[int], list[str]]:
+    """Words, words removed and the rest of every text of the batch."""
+    n_words, n_removed, kept = [], [], []
+    gone_of = batch.column(runs).to_pylist() if runs is not None else [None] * batch.num_rows
+    for value, its in zip(batch.column(text).to_pylist(), gone_of, strict=True):
+        words = (value or "").encode().split()
+        n_words.append(len(words))
+        if its:
+            gone = np.zeros(len(words), bool)
+            for r in its:
+                gone[r["start"] : r["stop"]] = True
+            words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+        n_removed.append(n_words[-1] - len(words))
+        kept.append(b" ".join(words).decode())
+    return n_words, n_removed, kept
+
+
+def _touched(rows: DataFrame, length: int, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that may lose words, with the stretches in a last column, and rows that surely lose none."""
+    removed = saved(repeated(rows.select(F.col(doc).alias("doc"), "text").where("doc is not null"), length))
+    name = fresh(rows.columns, "runs")
+    key = fresh([*rows.columns, name], "of")
+    listed = removed.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    changed, same = split(rows, doc, membership(removed.select("doc").distinct(), "doc", removed.count()))
+    return changed.join(listed, F.col(doc) == F.col(key), "left").drop(key), same
 
-    def split(side: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    ids = b.column(0)
-                    mark = touched.value(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-                    yield b.filter(pa.array(mark == side))
 
-        return run
+def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the remaining words, one space between) for every row of ``docs``."""
+    changed, same = _touched(docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text"), length, "doc")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _pieces(batches):
-            n_words, n_removed, kept = [], [], []
-            runs = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-            for text, its in zip(b.column(1).to_pylist(), runs, strict=True):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                if its:
-                    gone = np.zeros(len(words), bool)
-                    for r in its:
-                        gone[r["start"] : r["stop"]] = True
-                    words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+            n_words, n_removed, kept = _cut(b, 1, 2 if b.num_columns > 2 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
-    listed = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    changed = rows.mapInArrow(split(True), "doc bigint, text string").join(listed, "doc", "left").select("doc", "text", "runs").mapInArrow(keep, schema)
-    same = rows.mapInArrow(split(False), "doc bigint, text string").mapInArrow(keep, schema)
-    return changed.unionByName(same)
+    return changed.transform(X.streamed(keep, schema)).unionByName(same.transform(X.streamed(keep, schema)))
+
+
+def clean(docs: DataFrame, key: str, length: int = 50) -> DataFrame:
+    """``docs``, all columns, without the repeated passages; a text that loses none stays as it is.
+
+    ``key`` is a bigint column that orders the documents; rows without one keep
+    everything.  Only rows that may lose words are dealt.
+    """
+    changed, same = _touched(docs, length, key)
+    at = docs.columns.index("text")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            _, n_removed, kept = _cut(b, at, b.num_columns - 1)
+            gone = pa.array(np.array(n_removed, np.int64) > 0)
+            columns = [*b.columns[:at], pc.if_else(gone, pa.array(kept, b.column(at).type), b.column(at)), *b.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return changed.transform(X.streamed(rewrite, docs.schema)).unionByName(same)

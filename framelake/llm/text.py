@@ -10,14 +10,55 @@ Null text reads as empty text: no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text looked at together; one text longer than this is a slice alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Bytes of an Arrow batch, where the session names no size of its own; a longer row is a batch alone.
+BATCH_BYTES = 2 << 20
+#: Rows that a Parquet scan decodes together: its buffers are sized by rows, and whole texts are long rows.
+SCAN_ROWS = 512
+_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": SCAN_ROWS}
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Gives freed memory back, so that a reused worker does not keep what an earlier task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's batches for long rows, where the session names no sizes of its own."""
+    for key, value in _SETTINGS.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(value))
+
+
+def streamed(run: Callable[[Batches], Batches], schema) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: maps batches of bounded bytes, and gives memory back at the end of each task."""
+
+    def lean(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    def apply(df: DataFrame) -> DataFrame:
+        bounded(df.sparkSession)
+        return df.mapInArrow(lean, schema)
+
+    return apply
+
 
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, and 3 modulo 4: powers never collapse
 _M64 = (1 << 64) - 1

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import text as X
+
 #: Queries that are sent to every shard in one round; more take further rounds.
 ROUND = 65_536
 #: Vectors of one shard that are scored together.
@@ -137,7 +139,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, round_size: int = ROUND) -> Da
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             yield from _search(batches, shared.value, k)
 
-        found = v.mapInArrow(search, SCHEMA)
+        found = v.transform(X.streamed(search, SCHEMA))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], SCHEMA)
