@@ -13,14 +13,15 @@ _POLYNOMIAL = 0x82F63B78  # Castagnoli, reflected
 _MASK = (1 << 64) - 1
 
 
-def _table() -> np.ndarray:
+def crc_table() -> np.ndarray:
+    """The checksum's step for each byte value."""
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(_POLYNOMIAL), t >> 1).astype(np.uint32)
     return t
 
 
-_CRC = _table().tolist()
+_CRC = crc_table().tolist()
 
 
 def crc32c(data: bytes) -> int:

@@ -16,39 +16,59 @@ def adapted(p1: int, symbol: int) -> int:
     return min(max(p1 + (((C.PROBABILITY_TOTAL if symbol else 0) - p1) >> C.ADAPTATION_SHIFT), 1), C.PROBABILITY_TOTAL - 1)
 
 
-def encode(bins: list[tuple[int, int | None]], contexts: list[int]) -> tuple[bytes, int]:
-    """Bytes and modelled cost of (symbol, context or None for even odds); ``contexts`` adapt in place."""
-    out = bytearray()
-    low, width, waiting, cost = 0, _FULL, None, 0
-    held = 0  # bytes 0xFF due after ``waiting``
+class Encoder:
+    """Takes decisions one by one and counts what they cost and which bytes came of them."""
+
+    def __init__(self) -> None:
+        self.out = bytearray()
+        self.low, self.width = 0, _FULL
+        self.waiting, self.held = 0, 0  # the byte due, and how many 0xFF are due after it
+        self.bins = self.renewals = self.cost = self.flushed = 0
 
-    def push() -> None:
-        nonlocal low, waiting, held
-        carry, top = low >> 32, (low >> 24) & 0xFF
+    def _push(self) -> None:
+        carry, top = self.low >> 32, (self.low >> 24) & 0xFF
         if carry or top != 0xFF:
-            out.append(((waiting or 0) + carry) & 0xFF)
-            out.extend([(0xFF + carry) & 0xFF] * held)
-            waiting, held = top, 0
+            self.out.append((self.waiting + carry) & 0xFF)
+            self.out.extend([(0xFF + carry) & 0xFF] * self.held)
+            self.waiting, self.held = top, 0
         else:
-            held += 1
-        low = (low << 8) & _FULL
+            self.held += 1
+        self.low = (self.low << 8) & _FULL
 
-    for symbol, context in bins:
-        p1 = 2048 if context is None else contexts[context]
-        cost += C.bin_cost_q16(p1, symbol)
-        zero = (width >> 12) * (C.PROBABILITY_TOTAL - p1)
+    def bin(self, symbol: int, p1: int = C.PROBABILITY_TOTAL // 2) -> None:
+        self.cost += C.bin_cost_q16(p1, symbol)
+        zero = (self.width >> 12) * (C.PROBABILITY_TOTAL - p1)
         if symbol:
-            low, width = low + zero, width - zero
+            self.low, self.width = self.low + zero, self.width - zero
         else:
-            width = zero
-        if context is not None:
-            contexts[context] = adapted(p1, symbol)
-        while width < _TOP:
-            width = (width << 8) & _FULL
-            push()
-    for _ in range(5):
-        push()
-    return bytes(out), cost
+            self.width = zero
+        self.bins += 1
+        while self.width < _TOP:
+            self.width = (self.width << 8) & _FULL
+            self.renewals += 1
+            self._push()
+
+    def context(self, symbol: int, contexts: list[int], i: int) -> None:
+        self.bin(symbol, contexts[i])
+        contexts[i] = adapted(contexts[i], symbol)
+
+    def finish(self) -> bytes:
+        before = len(self.out)
+        for _ in range(5):
+            self._push()
+        self.flushed = len(self.out) - before
+        return bytes(self.out)
+
+
+def encode(bins: list[tuple[int, int | None]], contexts: list[int]) -> tuple[bytes, int]:
+    """Bytes and modelled cost of (symbol, context or None for even odds); ``contexts`` adapt in place."""
+    coder = Encoder()
+    for symbol, context in bins:
+        if context is None:
+            coder.bin(symbol)
+        else:
+            coder.context(symbol, contexts, context)
+    return coder.finish(), coder.cost
 
 
 class Decoder:
@@ -77,6 +97,11 @@ class Decoder:
             self._byte()
         return symbol
 
+    @property
+    def rest(self) -> bytes:
+        """What is left unread: bytes that only ended the payload."""
+        return self.data[self.at :]
+
     def context(self, contexts: list[int], i: int) -> int:
         symbol = self.bin(contexts[i])
         contexts[i] = adapted(contexts[i], symbol)

@@ -52,23 +52,25 @@ def intra_candidates(blocks: DataFrame, n: int = 4, modes: tuple[str, ...] = ("d
     return e.select("block_id", "c.mode", "c.order", sse.alias("cost"), F.concat_ws(",", F.transform("c.p", lambda p: p.cast("string"))).alias("predicted"))
 
 
-def median_vectors(cells: DataFrame, reference: str = "last") -> DataFrame:
-    """frame, cx, cy and the vector predicted from the left, above and above-right (else above-left) cells.
+def median_vectors(blocks: DataFrame, reference: str = "last") -> DataFrame:
+    """frame, x, y and the vector predicted from the left, above and above-right (else above-left) blocks.
 
-    Neighbours come by the frame's rows and columns, three equi-joins on the
-    frame and the shifted cell; a neighbour of another reference counts as none.
+    ``blocks`` (frame, x, y, size, ref, mv_x, mv_y) cover whole 8-pixel cells.
+    Each block asks for the cells beside its corners; all four questions meet the
+    cells in one equi-join.  A neighbour of another reference counts as none.
     """
-    use = cells.where(F.col("ref") == reference)
-
-    def near(dx: int, dy: int, name: str) -> DataFrame:
-        return use.select("frame", (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"), F.col("mv_x").alias(f"{name}_x"), F.col("mv_y").alias(f"{name}_y"))
-
-    out = cells.select("frame", "cx", "cy")
-    for dx, dy, name in ((1, 0, "l"), (0, 1, "a"), (-1, 1, "r"), (1, 1, "d")):
-        out = out.join(near(dx, dy, name), ["frame", "cx", "cy"], "left")
+    step = F.sequence(F.lit(0), F.col("size") - C.CELL, F.lit(C.CELL))
+    cell = lambda c, d: F.floor((F.col(c) + d) / C.CELL)
+    use = blocks.where(F.col("ref") == reference).select("*", F.explode(step).alias("dx")).select("*", F.explode(step).alias("dy"))
+    use = use.select("frame", cell("x", F.col("dx")).alias("cx"), cell("y", F.col("dy")).alias("cy"), F.col("mv_x").alias("x_near"), F.col("mv_y").alias("y_near"))
+    corners = {"l": (F.lit(-1), F.lit(0)), "a": (F.lit(0), F.lit(-1)), "r": (F.col("size"), F.lit(-1)), "d": (F.lit(-1), F.lit(-1))}
+    asked = blocks.select("frame", "x", "y", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), cell("x", dx).alias("cx"), cell("y", dy).alias("cy")) for n, (dx, dy) in corners.items()])).alias("q")).select("frame", "x", "y", "q.*")
+    met = asked.join(use, ["frame", "cx", "cy"], "left").groupBy("frame", "x", "y")
+    near = lambda side, c: F.max(F.when(F.col("side") == side, F.col(f"{c}_near"))).alias(f"{side}_{c}")
+    out = met.agg(*[near(side, c) for side in corners for c in ("x", "y")])
     zero = F.lit(0).cast("bigint")
     third = lambda c: F.when(F.col("r_x").isNotNull(), F.col(f"r_{c}")).otherwise(F.coalesce(f"d_{c}", zero))
-    return out.select("frame", "cx", "cy", *[N.median3(F.coalesce(f"l_{c}", zero), F.coalesce(f"a_{c}", zero), third(c)).alias(f"mv_{c}") for c in ("x", "y")])
+    return out.select("frame", "x", "y", *[N.median3(F.coalesce(f"l_{c}", zero), F.coalesce(f"a_{c}", zero), third(c)).alias(f"mv_{c}") for c in ("x", "y")])
 
 
 def deblock_line(s: Column, qp: Column, strength: Column) -> Column:
@@ -99,24 +101,28 @@ def edge_strength(kind: Column, intra: Column, coded: Column) -> Column:
 
 
 def chroma_edges(edges: DataFrame) -> DataFrame:
-    """Edges (line, start, length) of a half-size plane: long enough, on even lines, halved, and still long enough."""
-    e = edges.where("length >= 16 and line % 2 = 0")
-    return e.select(*[c for c in e.columns if c not in ("line", "start", "length")], *[F.floor(F.col(c) / 2).cast("bigint").alias(c) for c in ("line", "start", "length")]).where("length >= 8")
+    """Edges (line, start, length) of a half-size plane: long enough, on even lines from even starts, halved, and still long enough."""
+    e = edges.where(f"length >= {2 * C.LEAST_EDGE} and line % 2 = 0 and start % 2 = 0")
+    return e.select(*[c for c in e.columns if c not in ("line", "start", "length")], *[F.floor(F.col(c) / 2).cast("bigint").alias(c) for c in ("line", "start", "length")]).where(f"length >= {C.LEAST_EDGE}")
 
 
-def block_edges(leaves: DataFrame) -> DataFrame:
-    """frame, vertical, line, start, length: boundaries between neighbouring leaves, from the smaller of the two.
+def block_edges(blocks: DataFrame, width: int, height: int) -> DataFrame:
+    """frame, vertical, line, start, length, kind, intra, coded: edges of coded blocks (frame, x, y, size, intra, coded).
 
-    Every leaf covers whole 8-pixel cells; cells of neighbours meet by equality,
-    so what a range join would find is found by two equi-joins.
+    Every block gives its right and its lower edge, whole, where they lie inside
+    the frame, and meets the block that holds their first sample; a 64-pixel
+    block gives the two edges of its transforms as well.  Blocks cover whole
+    8-pixel cells, so the neighbour is found by one equi-join.
     """
-    step = lambda size: F.sequence(F.lit(0), size - 8, F.lit(8))
-    c = leaves.select("*", F.explode(step(F.col("size"))).alias("dx")).select("*", F.explode(step(F.col("size"))).alias("dy"))
-    c = c.select("frame", "size", "x", "y", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"))
-    out = None
-    for vertical, dx, dy in ((True, 8, 0), (False, 0, 8)):
-        other = c.select("frame", F.col("size").alias("size2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
-        met = c.join(other, ["frame", "cx", "cy"]).where("x <> x2 or y <> y2")
-        e = met.groupBy("frame", F.lit(vertical).alias("vertical"), F.col("cx" if vertical else "cy").alias("line"), F.when(F.lit(vertical), F.greatest("y", "y2")).otherwise(F.greatest("x", "x2")).alias("start")).agg((F.count("*") * 8).alias("length"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    step = F.sequence(F.lit(0), F.col("size") - C.CELL, F.lit(C.CELL))
+    cells = blocks.select("frame", "x", "y", F.col("intra").alias("near_intra"), F.col("coded").alias("near_coded"), F.explode(step).alias("dx"), "size")
+    cells = cells.select("*", F.explode(step).alias("dy")).select("frame", (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"), "near_intra", "near_coded")
+    right, low = F.col("x") + F.col("size"), F.col("y") + F.col("size")
+    side = lambda vertical, line, start, cx, cy: F.struct(F.lit(vertical).alias("vertical"), line.alias("line"), start.alias("start"), cx.alias("cx"), cy.alias("cy"))
+    outer = blocks.select("frame", "size", "intra", "coded", F.explode(F.array(side(True, right, F.col("y"), right, F.col("y")), side(False, low, F.col("x"), F.col("x"), low))).alias("e"))
+    outer = outer.select("frame", "e.*", F.col("size").alias("length"), "intra", "coded").where(F.col("line") < F.when(F.col("vertical"), F.lit(width)).otherwise(F.lit(height)))
+    both = lambda c: (F.col(c) | F.coalesce(f"near_{c}", F.lit(False))).alias(c)
+    met = outer.join(cells, ["frame", "cx", "cy"], "left").select("frame", "vertical", "line", "start", "length", F.lit("coding_block").alias("kind"), both("intra"), both("coded"))
+    half = C.SUPERBLOCK // 2
+    inner = blocks.where(F.col("size") == C.SUPERBLOCK).select("frame", "intra", "coded", F.explode(F.array(side(True, F.col("x") + half, F.col("y"), F.col("x"), F.col("y")), side(False, F.col("y") + half, F.col("x"), F.col("x"), F.col("y")))).alias("e"))
+    return met.unionByName(inner.select("frame", "e.vertical", "e.line", "e.start", F.lit(C.SUPERBLOCK).alias("length"), F.lit("derived_transform").alias("kind"), "intra", "coded"))

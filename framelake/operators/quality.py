@@ -67,10 +67,29 @@ def ssim_clip(pairs: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def frame_sad(frames: DataFrame) -> DataFrame:
-    """frame and the summed absolute change since the frame before it; null for the first."""
-    before = F.lag("v").over(Window.orderBy("frame")) if "clip" not in frames.columns else F.lag("v").over(Window.partitionBy("clip").orderBy("frame"))
-    f = frames.withColumn("before", before)
-    return f.select(*[c for c in ("clip", "frame") if c in frames.columns], F.aggregate(F.zip_with("v", "before", lambda a, b: F.abs(a - b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("sad"))
+    """clip, frame and the summed absolute change since the clip's frame before it; null for the first."""
+    f = frames.withColumn("before", F.lag("v").over(Window.partitionBy("clip").orderBy("frame")))
+    return f.select("clip", "frame", F.aggregate(F.zip_with("v", "before", lambda a, b: F.abs(a - b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("sad"))
+
+
+class ClipsDiffer(ValueError):
+    """Two clips that cannot be compared; says why."""
+
+
+def check_pair(reference: DataFrame, distorted: DataFrame) -> DataFrame:
+    """clip and ``refused`` for clips (clip, frame, width, height) that do not pair up: other frame counts, none, or another size.
+
+    Clips that do pair up give no row, so a caller may test or anti-join it.
+    """
+    g = lambda df, name: df.groupBy("clip").agg(F.count("*").alias(name))
+    counts = g(reference, "left_frames").join(g(distorted, "right_frames"), "clip", "full")
+    size = lambda df, side: df.select("clip", "frame", F.struct("width", "height").alias(side))
+    differ = size(reference, "a").join(size(distorted, "b"), ["clip", "frame"]).where("a <> b").groupBy("clip").agg(F.min_by(F.struct("frame", "a", "b"), "frame").alias("d"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    says = lambda s: F.concat(F.col(f"d.{s}.width").cast("string"), F.lit("x"), F.col(f"d.{s}.height").cast("string"))
+    why = F.when(~F.coalesce("left_frames", F.lit(0)).eqNullSafe(F.coalesce("right_frames", F.lit(0))), F.concat(F.lit("the clips have "), n("left_frames"), F.lit(" and "), n("right_frames"), F.lit(" frames")))
+    why = why.when(F.col("d").isNotNull(), F.concat(F.lit("frame "), F.col("d.frame").cast("string"), F.lit(" is "), says("a"), F.lit(" against "), says("b")))
+    return counts.join(differ, "clip", "left").withColumn("refused", why).where("refused is not null").select("clip", "refused")
 
 
 _CURVE = ["clip", "toolset"]

@@ -7,6 +7,7 @@ hundred entries are computed from their rule.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 # The declared limits.
 SUPERBLOCK, CELL = 64, 8
@@ -28,6 +29,22 @@ INTRA_MODES = ("dc", "planar", "horizontal", "vertical", "d45", "d135", "d117",
 GAUSSIAN_SIGMA, GAUSSIAN_RADIUS = 1.5, 5
 SSIM_C1, SSIM_C2 = (0.01 * 255.0) ** 2, (0.03 * 255.0) ** 2
 
+BLOCK_SIZES, TRANSFORM_SIZES = (64, 32, 16, 8), (32, 16, 8, 4)
+REFERENCES = ("last", "golden")
+UNAVAILABLE_SAMPLE = 128
+EDGE_EXTENSION, LEAST_EDGE = 64, 8
+
+# Offsets that motion search visits, in order, and its steps below a pixel (quarter pixels).
+FULL_PATTERN = ((0, -1), (-1, 0), (1, 0), (0, 1))
+SUB_PATTERN = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+SUB_STEPS = (2, 1)
+# Encoder settings by name, and the tool that each goes without.
+TOOLSETS = {"full": None, "no-golden": "golden", "no-skip": "skip", "no-inter": "inter", "no-subpel": "subpel", "no-split": "split"}
+
+# First context of each syntax element's group, and the elements in the order of their inventory.
+CONTEXT_OF = {"partition_tree": 0, "skip": 12, "is_inter": 15, "intra_mode": 18, "ref_select": 28, "mvd": 30, "has_coeff": 36, "last_x": 44, "last_y": 60, "sig": 76, "gt1": 120, "gt2": 136}
+ELEMENTS = ("partition_tree", "skip", "is_inter", "intra_mode", "ref_select", "mvd", "has_coeff", "last_x", "last_y", "sig", "gt1", "gt2", "magnitude_remainder", "nonzero_sign")
+
 # Quantizer scale of each QP.
 QSCALE = [16, 18, 20, 23, 25, 29, 32, 36, 40, 45, 51, 57, 64, 72, 81, 91, 102, 114, 128, 144, 161, 181, 203, 228, 256, 287, 323, 362, 406, 456, 512, 575, 645, 724, 813, 912, 1024, 1149, 1290, 1448, 1625, 1825, 2048, 2299, 2580, 2896, 3251, 3649, 4096, 4598, 5161, 5793, 6502, 7298, 8192, 9195, 10321, 11585, 13004, 14596, 16384, 18390, 20643, 23170]
 # Rate weight of each QP, in 1/256.
@@ -43,11 +60,13 @@ STRENGTH = [
 ]
 
 
+@cache
 def dct_matrix(n: int) -> list[list[int]]:
     """Row k: 64 for k = 0, else round(64 sqrt(2) cos(pi (2x + 1) k / 2n))."""
     return [[64 if k == 0 else round(64 * math.sqrt(2) * math.cos(math.pi * (2 * x + 1) * k / (2 * n))) for x in range(n)] for k in range(n)]
 
 
+@cache
 def diagonal_scan(n: int) -> list[tuple[int, int]]:
     """(x, y) in scan order: diagonals from the origin, direction alternating."""
     out: list[tuple[int, int]] = []
@@ -57,6 +76,7 @@ def diagonal_scan(n: int) -> list[tuple[int, int]]:
     return out
 
 
+@cache
 def bin_cost_q16(p1: int, symbol: int) -> int:
     """-log2 of the symbol's probability in 1/65536 bits; ``p1`` is out of 4096."""
     p = p1 if symbol else PROBABILITY_TOTAL - p1

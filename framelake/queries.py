@@ -32,12 +32,10 @@ PAIRS = SAMPLES + """, pairs AS (SELECT a.block_id AS frame, a.y, a.x, a.i, a.v
 CURVES = """points AS (
   SELECT clip, toolset, pow(1.5, CAST(q AS DOUBLE)) * sqrt(CAST(n AS DOUBLE)) AS rate, 28.0::DOUBLE + q * 2.5 + (n % 7) * 0.1::DOUBLE AS quality
   FROM (SELECT l_returnflag AS clip, l_linestatus AS toolset, floor(l_quantity / 9) AS q, count(*) AS n FROM lineitem GROUP BY ALL))"""
-CELLS = """cells AS (
-  SELECT frame, cx, cy, ref, mv_x, mv_y FROM (
-    SELECT *, row_number() OVER (PARTITION BY frame, cx, cy ORDER BY l_orderkey, l_linenumber, mv_x, mv_y) AS n FROM (
-      SELECT l_orderkey % 97 AS frame, (l_orderkey * 7 + l_linenumber) % 16 AS cx, ((l_orderkey * 7 + l_linenumber) // 16) % 16 AS cy,
-        CASE WHEN l_partkey % 5 <> 0 THEN CASE WHEN l_partkey % 3 = 0 THEN 'golden' ELSE 'last' END END AS ref,
-        l_partkey % 65 - 32 AS mv_x, l_suppkey % 33 - 16 AS mv_y, l_orderkey, l_linenumber FROM lineitem)) WHERE n = 1)"""
+MOTION = """blocks AS (
+  SELECT frame, nth % 16 * 8 AS x, nth // 16 * 8 AS y, ref, mv_x, mv_y FROM (
+    SELECT l_orderkey // 32 AS frame, CAST(row_number() OVER (PARTITION BY l_orderkey // 32 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS nth,
+      CASE WHEN l_partkey % 5 <> 0 THEN CASE WHEN l_partkey % 3 = 0 THEN 'golden' ELSE 'last' END END AS ref, l_partkey % 65 - 32 AS mv_x, l_suppkey % 33 - 16 AS mv_y FROM lineitem))"""
 DCT = """m AS (SELECT k, x, CAST(CASE WHEN k = 0 THEN 64 ELSE round(64 * sqrt(2.0) * cos(pi() * (2 * x + 1) * k / 16)) END AS BIGINT) AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(8)) AS x))"""
 
 
@@ -306,12 +304,12 @@ def exp_golomb_bits(spark, d):
     return coding.level_bits(coding.levels(V.blocks(spark, d), QP))
 
 
-@query(f"""WITH {CELLS}, u AS (SELECT * FROM cells WHERE ref = 'last')
-SELECT c.frame, c.cx, c.cy, {", ".join(f"greatest(least(coalesce(l.mv_{k}, 0), coalesce(a.mv_{k}, 0)), least(greatest(coalesce(l.mv_{k}, 0), coalesce(a.mv_{k}, 0)), CASE WHEN r.frame IS NOT NULL THEN r.mv_{k} ELSE coalesce(e.mv_{k}, 0) END)) AS mv_{k}" for k in "xy")}
-FROM cells c LEFT JOIN u l ON l.frame = c.frame AND l.cx = c.cx - 1 AND l.cy = c.cy LEFT JOIN u a ON a.frame = c.frame AND a.cx = c.cx AND a.cy = c.cy - 1
-LEFT JOIN u r ON r.frame = c.frame AND r.cx = c.cx + 1 AND r.cy = c.cy - 1 LEFT JOIN u e ON e.frame = c.frame AND e.cx = c.cx - 1 AND e.cy = c.cy - 1""")
+@query(f"""WITH {MOTION}, u AS (SELECT * FROM blocks WHERE ref = 'last')
+SELECT c.frame, c.x, c.y, {", ".join(f"greatest(least(coalesce(l.mv_{k}, 0), coalesce(a.mv_{k}, 0)), least(greatest(coalesce(l.mv_{k}, 0), coalesce(a.mv_{k}, 0)), CASE WHEN r.frame IS NOT NULL THEN r.mv_{k} ELSE coalesce(e.mv_{k}, 0) END)) AS mv_{k}" for k in "xy")}
+FROM blocks c LEFT JOIN u l ON l.frame = c.frame AND l.x = c.x - 8 AND l.y = c.y LEFT JOIN u a ON a.frame = c.frame AND a.x = c.x AND a.y = c.y - 8
+LEFT JOIN u r ON r.frame = c.frame AND r.x = c.x + 8 AND r.y = c.y - 8 LEFT JOIN u e ON e.frame = c.frame AND e.x = c.x - 8 AND e.y = c.y - 8""")
 def median_mv(spark, d):
-    return prediction.median_vectors(V.cells(spark, d))
+    return prediction.median_vectors(V.motion_blocks(spark, d))
 
 
 _COSTS = SAMPLES + ", costs AS (" + " UNION ALL ".join(
@@ -368,16 +366,23 @@ def deblock_line(spark, d):
     return b.select("block_id", "r.y", F.concat_ws(",", F.transform(line, lambda x: x.cast("string"))).alias("line"))
 
 
-_CELLS8 = "c AS (SELECT frame, size, x, y, x + 8 * i AS cx, y + 8 * j AS cy FROM leaves, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) WHERE 8 * i < size AND 8 * j < size)"
+_EDGES = f"""{_TREE}, b AS (SELECT frame, size, x, y, (frame + x // 8 + y // 8) % 3 = 0 AS intra, (frame + x // 8) % 2 = 0 AS coded FROM leaves),
+e AS (SELECT a.frame, TRUE AS vertical, a.x + a.size AS line, a.y AS start, a.size AS length, 'coding_block' AS kind, a.intra OR o.intra AS intra, a.coded OR o.coded AS coded FROM b a JOIN b o ON o.frame = a.frame AND a.x + a.size >= o.x AND a.x + a.size < o.x + o.size AND a.y >= o.y AND a.y < o.y + o.size
+  UNION ALL SELECT a.frame, FALSE, a.y + a.size, a.x, a.size, 'coding_block', a.intra OR o.intra, a.coded OR o.coded FROM b a JOIN b o ON o.frame = a.frame AND a.y + a.size >= o.y AND a.y + a.size < o.y + o.size AND a.x >= o.x AND a.x < o.x + o.size
+  UNION ALL SELECT frame, vertical, CASE WHEN vertical THEN x ELSE y END + 32, CASE WHEN vertical THEN y ELSE x END, 64, 'derived_transform', intra, coded FROM b, (VALUES (TRUE), (FALSE)) d(vertical) WHERE size = 64)"""
 
 
-@query(f"""WITH {_TREE}, {_CELLS8} SELECT a.frame, TRUE AS vertical, a.cx AS line, greatest(a.y, b.y) AS start, count(*) * 8 AS length FROM c a JOIN c b ON b.frame = a.frame AND a.cx = b.cx + 8 AND a.cy = b.cy WHERE a.x <> b.x OR a.y <> b.y GROUP BY 1, 3, 4
-UNION ALL SELECT a.frame, FALSE, a.cy, greatest(a.x, b.x), count(*) * 8 FROM c a JOIN c b ON b.frame = a.frame AND a.cy = b.cy + 8 AND a.cx = b.cx WHERE a.x <> b.x OR a.y <> b.y GROUP BY 1, 3, 4""")
+def _leaves(spark, d):
+    at = F.col("frame") + F.floor(F.col("x") / 8)
+    return coding.quadtree(V.leaf_costs(spark, d)).withColumns({"intra": (at + F.floor(F.col("y") / 8)) % 3 == 0, "coded": at % 2 == 0})
+
+
+@query(f"WITH {_EDGES} SELECT frame, vertical, line, start, length, kind, intra, coded FROM e")
 def deblock_edges(spark, d):
-    return prediction.block_edges(coding.quadtree(V.leaf_costs(spark, d)))
+    return prediction.block_edges(_leaves(spark, d), 64, 64)
 
 
-@query("WITH e AS (SELECT l_orderkey AS frame, l_linenumber AS vertical, l_partkey % 64 AS line, l_suppkey % 32 AS start, CAST(l_quantity AS BIGINT) AS length FROM lineitem) SELECT frame, vertical, line // 2 AS line, start // 2 AS start, length // 2 AS length FROM e WHERE length >= 16 AND line % 2 = 0 AND length // 2 >= 8")
+@query("WITH e AS (SELECT l_orderkey AS frame, l_linenumber AS vertical, l_partkey % 64 AS line, l_suppkey % 32 AS start, CAST(l_quantity AS BIGINT) AS length FROM lineitem) SELECT frame, vertical, line // 2 AS line, start // 2 AS start, length // 2 AS length FROM e WHERE length >= 16 AND line % 2 = 0 AND start % 2 = 0 AND length // 2 >= 8")
 def chroma_edges(spark, d):
     e = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("vertical"), (F.col("l_partkey") % 64).alias("line"), (F.col("l_suppkey") % 32).alias("start"), F.col("l_quantity").cast("bigint").alias("length"))
     return prediction.chroma_edges(e)

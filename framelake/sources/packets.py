@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +134,27 @@ def scan(streams: DataFrame, strict: bool = False) -> DataFrame:
     return streams.select("stream_id", "data").mapInPandas(run, "stream_id bigint, pos bigint, event string, offset bigint, frame_index bigint, key boolean, golden boolean, qp int, payload_len bigint")
 
 
+def payloads(streams: DataFrame) -> DataFrame:
+    """The packets of ``scan`` with their payload (null where damaged) and the stream's size; a stream with a bad header is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["stream_id", "pos", "event", "offset", "frame_index", "key", "golden", "qp", "payload_len", "width", "height", "payload"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        for b in batches:
+            for stream, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if data is None:
+                    continue
+                head = decode_stream(data)
+                rows = [
+                    (stream, pos, event, at, p.frame_index, bool(p.flags & KEY), bool(p.flags & GOLDEN), p.qp, p.payload_len, head.width, head.height, data[at + C.HEADER_BYTES : at + p.size] if event == "packet" else None)
+                    for pos, (event, at, p) in enumerate(events(data))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    schema = "stream_id bigint, pos bigint, event string, offset bigint, frame_index bigint, key boolean, golden boolean, qp int, payload_len bigint, width int, height int, payload binary"
+    return streams.select("stream_id", F.col("data").cast("binary")).mapInArrow(run, schema)
+
+
 def header_columns(data: Column) -> list[Column]:
     """Stream header fields read from binary in generated code, without checks."""
     at = {"version": (4, 2), "width": (6, 2), "height": (8, 2), "chroma": (10, 1), "depth": (11, 1), "fps_num": (12, 2), "fps_den": (14, 2), "kf_interval": (16, 2), "golden_interval": (18, 1), "flags": (19, 1), "header_crc32c": (20, 4)}

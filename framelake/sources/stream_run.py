@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from .shared import folder
 
 
 def run_to_table(spark: SparkSession, rows: DataFrame, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes ``rows`` to the shared folder, streams them through ``form`` and reads the files it appended."""
-    at = _folder(spark)
+    at = folder(spark, "stream")
     rows.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
     q = form(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()

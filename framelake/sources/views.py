@@ -55,14 +55,18 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("clip", "toolset", (F.pow(F.lit(1.5), F.col("q").cast("double")) * F.sqrt(F.col("n").cast("double"))).alias("rate"), (F.lit(28.0) + F.col("q") * 2.5 + (F.col("n") % 7) * 0.1).alias("quality"))
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, cx, cy, ref, mv_x, mv_y: one 8-pixel cell of a motion field per row; ref is null where intra."""
+def motion_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, x, y, size, ref, mv_x, mv_y: one 8-pixel block of a motion field per row, 16 in a line; ref is null where intra.
+
+    32 orders in a row make a frame, so frames grow with the table and every row keeps a place of its own.
+    """
     li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    frame = F.floor(F.col("l_orderkey") / 32)
+    nth = F.row_number().over(Window.partitionBy(frame).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
     ref = F.when(F.col("l_partkey") % 5 != 0, F.when(F.col("l_partkey") % 3 == 0, "golden").otherwise("last"))
-    raw = li.select((F.col("l_orderkey") % 97).alias("frame"), (k % 16).alias("cx"), (F.floor(k / 16) % 16).cast("bigint").alias("cy"), ref.alias("ref"), (F.col("l_partkey") % 65 - 32).alias("mv_x"), (F.col("l_suppkey") % 33 - 16).alias("mv_y"), "l_orderkey", "l_linenumber")
-    first = F.row_number().over(Window.partitionBy("frame", "cx", "cy").orderBy("l_orderkey", "l_linenumber", "mv_x", "mv_y"))
-    return raw.withColumn("n", first).where("n = 1").drop("n", "l_orderkey", "l_linenumber")
+    return li.select(frame.alias("frame"), nth.alias("nth"), ref.alias("ref"), (F.col("l_partkey") % 65 - 32).alias("mv_x"), (F.col("l_suppkey") % 33 - 16).alias("mv_y")).select(
+        "frame", (F.col("nth") % 16 * 8).cast("bigint").alias("x"), (F.floor(F.col("nth") / 16) * 8).cast("bigint").alias("y"), F.lit(8).alias("size"), "ref", "mv_x", "mv_y"
+    )
 
 
 def leaf_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
