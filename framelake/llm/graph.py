@@ -6,12 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import text as X
 from .storage import saved
 
 #: Bits of the largest membership filter that is sent to tasks.
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 27
+#: Shares into which the rows of a frequent key are dealt, and from how many rows on a key may be one.
+SHARES, FREQUENT = 64, 5_000
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -56,6 +59,16 @@ class Filter:
         return out
 
 
+class Everything(Filter):
+    """What stands for a filter that would let nearly all through."""
+
+    def __init__(self) -> None:
+        super().__init__(np.zeros(1, np.uint64))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        return np.ones(len(values), bool)
+
+
 def positions(values: np.ndarray, bits: int) -> list[np.ndarray]:
     v = values.view(np.uint64) if values.dtype != np.uint64 else values
     return [(v * np.uint64(f) >> np.uint64(20)) % np.uint64(bits) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -65,8 +78,11 @@ def membership(values: DataFrame, column: str, n: int, most_bits: int = MOST_BIT
     """A filter that holds all values of a bigint column; at most ``most_bits`` bits come to the driver.
 
     It lets through some others, more of them once the values outgrow the
-    largest filter; whoever uses it must stay right whatever passes.
+    largest filter, and all where it would be full; whoever uses it must stay
+    right whatever passes.
     """
+    if n > most_bits:
+        return Everything()
     bits = 1 << 16
     while bits < min(n * 16, most_bits):
         bits *= 2
@@ -117,6 +133,39 @@ def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return sure.unionByName(doubtful.join(gone, F.col(column) == F.col(name), "left_anti"))
 
 
+def frequent(rows: int) -> int:
+    """From how many rows on a key is frequent, among ``rows`` rows: at most 4096 keys are."""
+    return max(FREQUENT, rows >> 12)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame, n_hot: int) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key), where the keys in ``hot`` are frequent among the rows.
+
+    Rows of a frequent key are dealt in shares by the bigint column ``by``, each
+    meeting its own copy of the key's row.  Which keys are spread a filter tells,
+    the same for both sides, so what it lets through by mistake is only spread.
+    """
+    if not n_hot:
+        return rows.join(table, key)
+    share = fresh([*rows.columns, *table.columns], "share")
+    shared = rows.sparkSession.sparkContext.broadcast(membership(hot, key, n_hot))
+
+    def deal(batches: X.Batches) -> X.Batches:
+        for b in batches:
+            spread = shared.value(b.column(b.schema.get_field_index(key)).to_numpy())
+            mixed = X.mix(b.column(b.schema.get_field_index(by)).to_numpy().view(np.uint64)) % np.uint64(SHARES)
+            yield b.append_column(share, pa.array(np.where(spread, mixed, np.uint64(0)).astype(np.int32)))
+
+    def copy(batches: X.Batches) -> X.Batches:
+        for b in batches:
+            times = np.where(shared.value(b.column(b.schema.get_field_index(key)).to_numpy()), SHARES, 1)
+            at = np.repeat(np.arange(b.num_rows), times)
+            yield b.take(pa.array(at)).append_column(share, pa.array((np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)))
+
+    wide = lambda df: StructType([*df.schema.fields, StructField(share, IntegerType())])
+    return rows.transform(X.streamed(deal, wide(rows))).join(table.transform(X.streamed(copy, wide(table))), [key, share]).drop(share)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that none of ``taken`` has, in any case."""
     have = {c.lower() for c in taken}

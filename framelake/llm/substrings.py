@@ -16,15 +16,17 @@ documents, without looking at pairs:
 2. Consecutive windows with one anchor are a span.  Where all spans of an
    anchor are equal, the span is one row; where they differ, each of its windows
    is.  Rows are grouped by hash, and the least id of each group is its
-   reference.  Groups are reduced before they are dealt, and a frequent one is
-   split when its rows are joined back.
+   reference.  Groups are reduced before they are dealt; rows of groups without
+   a partner stay where they are, and those of a frequent one are dealt in
+   shares when they are joined back.
 3. Rows that touch and have one reference become passages.  The passages of a
    reference, in shards of bounded length that overlap by a window, give the
    automata; passages meet their reference by its id, in shares of bounded
    size with a copy of the reference each.
 
-Two membership filters of bounded size only spare rows; what they let through
-by mistake finds no partner later.
+Membership filters of bounded size only spare rows; what they let through by
+mistake finds no partner later.  Where more anchors are shared than the largest
+filter can tell, all spans are dealt once: about half the input's size more.
 
 Cases: null or empty text has no words; documents shorter than a window keep
 everything; a passage repeated inside one document stays; rows that repeat an
@@ -44,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .graph import fresh, membership, split
+from .graph import Filter, fresh, frequent, joined, membership, split
 from .storage import saved
 
 #: Words of a reference in one automaton.
 SHARD_WORDS = 50_000
 #: Passages checked against one copy of a reference.
-SHARE = 500
+SHARE = 128
 #: Rows held as Python strings at a time.
 PIECE = 400
 
@@ -114,14 +116,19 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     return saved(found.where("low < high").select("anchor", (F.col("s1") != F.col("s2")).alias("differ")))
 
 
-def candidate_rows(docs: DataFrame, length: int) -> DataFrame:
-    """key, doc, pos, n: spans, or their windows, whose anchor several documents have."""
+def anchor_filters(docs: DataFrame, length: int) -> tuple[Filter, Filter]:
+    """Anchors that several documents have, and those of them whose spans differ."""
     anchors = shared_anchors(docs, length)
     sizes = anchors.agg(F.count("*").alias("n"), F.sum(F.col("differ").cast("bigint")).alias("d")).first()
-    filters = docs.sparkSession.sparkContext.broadcast((membership(anchors, "anchor", sizes["n"]), membership(anchors.where("differ"), "anchor", sizes["d"] or 0)))
+    return membership(anchors, "anchor", sizes["n"]), membership(anchors.where("differ"), "anchor", sizes["d"] or 0)
+
+
+def candidate_rows(docs: DataFrame, length: int, *filters: Filter) -> DataFrame:
+    """key, doc, pos, n: spans, or their windows, whose anchor several documents have; with a third filter, only keys in it."""
+    filters = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, differ = filters.value
+        shared, differ, *wanted = filters.value
         for b in batches:
             for ids, w in _read(b):
                 anchor, whole, owner, start, count = spans(w, length)
@@ -134,6 +141,9 @@ def candidate_rows(docs: DataFrame, length: int) -> DataFrame:
                 key = np.concatenate([X.mix(whole[one] ^ np.uint64(0x5555555555555555)), windows])
                 place, texts = np.concatenate([start[one], at]), np.concatenate([owner[one], who])
                 n = np.concatenate([count[one], np.ones(len(at), np.int64)])
+                for f in wanted:
+                    use = f(key)
+                    key, place, texts, n = key[use], place[use], texts[use], n[use]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[texts].astype(np.int64)), pa.array((place - w.first[texts]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "doc", "pos", "n"])
 
     return docs.transform(X.streamed(run, "key bigint, doc bigint, pos int, n int"))
@@ -141,9 +151,14 @@ def candidate_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def passages(docs: DataFrame, length: int) -> DataFrame:
     """doc, ref, start, stop: passages (in words) and the first document that has them; its own too, as its reference."""
-    rows = candidate_rows(docs, length)
-    low = rows.groupBy("key").agg(F.min("doc").alias("ref"), F.max("doc").alias("high")).where("ref < high").select("key", "ref")
-    found = rows.join(low, "key").select("doc", "pos", "n", "ref").repartition("doc").sortWithinPartitions("doc", "pos")
+    filters = anchor_filters(docs, length)
+    seen = candidate_rows(docs, length, *filters).groupBy("key").agg(F.min("doc").alias("ref"), F.max("doc").alias("high"), F.count("*").alias("rows"))
+    low = saved(seen.where("ref < high").select("key", "ref", "rows"))
+    sizes = low.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    hot = low.where(F.col("rows") >= frequent(sizes["rows"] or 0)).select("key")
+    rows = candidate_rows(docs, length, *filters, membership(low, "key", sizes["n"]))
+    met = joined(rows, low.select("key", "ref"), "key", "doc", hot, hot.count())
+    found = met.select("doc", "pos", "n", "ref").repartition("doc").sortWithinPartitions("doc", "pos")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
