@@ -14,7 +14,8 @@ task's end is cut at powers of two, which need no padding.
 
 Cases: null text is an empty document (its end token only); an empty text, a
 text longer than many sequences and repeated rows are packed like any other;
-an empty table gives no pieces; other columns are not looked at.
+a document without id has pieces without one; an empty table gives no pieces;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ class Units:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        # strings that the tokenizer takes out of a text as it stands, before it lower-cases
+        self.marks = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.closes[i] = piece.endswith("</w>")
@@ -128,9 +131,42 @@ def units(path: str) -> Units:
     return _loaded[path]
 
 
+def _marked(marks: list[bytes], lowered: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Texts that hold, in any case, a string with a token of its own: units would not do for those."""
+    raw, found = lowered.tobytes(), set()
+    for m in marks:
+        at = raw.find(m)
+        while at >= 0:
+            k = int(np.searchsorted(bounds, at, "right")) - 1
+            if at + len(m) <= bounds[k + 1]:
+                found.add(k)
+            at = raw.find(m, at + 1)
+    return np.array(sorted(found), np.int64)
+
+
 def encode(find: Units, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, document bounds, sentence ends) of a slice of texts, each with its end token."""
+    """(ids, document bounds, sentence ends) of a slice of texts, each with its end token.
+
+    A text with a string that has a token of its own, in any case, goes through
+    the tokenizer whole, as it stands; it has no sentence ends.
+    """
     w = X.words(data, bounds, X.SPACED, lower=True)
+    ids, ends, stops = _by_units(find, w, bounds, end_id)
+    marked = _marked(find.marks, w.data, bounds)
+    if not len(marked):
+        return ids, ends, stops
+    parts, kept = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.ones(len(stops), bool)
+    raw = data.tobytes()
+    for k in marked.tolist():
+        own = find._encode([raw[bounds[k] : bounds[k + 1]].decode()])[0]
+        parts[k] = np.append(own, np.int32(end_id))
+        kept[np.searchsorted(stops, ends[k], "right") : np.searchsorted(stops, ends[k + 1], "right")] = False
+    now = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    owner = np.searchsorted(ends, stops[kept], "left") - 1
+    return np.concatenate(parts), now, stops[kept] - ends[owner] + now[owner]
+
+
+def _by_units(find: Units, w: X.Words, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     core = w.end.copy()
     moving = np.arange(len(core))
     while len(moving):  # back over symbols at the end of words
@@ -206,7 +242,8 @@ class Packer:
         ends = np.cumsum([n - start for _, start, n in self.docs])
         stops = np.concatenate(self.stops)
         kind = np.full(self.held + 1, 3, np.int8)
-        kind[GRID::GRID] = 2
+        grid = min(GRID, size)
+        kind[grid::grid] = 2
         kind[stops] = 1
         kind[ends] = 0
         places = np.flatnonzero(kind[1:] < 3) + 1
