@@ -11,6 +11,9 @@ Cases: vectors that are null, empty or hold null, NaN or infinite components
 take no part; a query meets only vectors of its own length; equal scores go to
 the smaller ``vec_id``; repeated ids are separate rows, a query's own rows
 are those with its id, and queries with one id share one ranking.  An empty table gives no rows.
+A component that a long cannot hold after scaling, or a score among the best
+that it cannot hold, is an error and never a wrong number: scores whose bound
+is beyond 64 bits are added up in whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -28,14 +31,22 @@ from . import text as X
 ROUND = 65_536
 #: Vectors of one shard that are scored together.
 SHARD = 8_192
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
 def vectors(table: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id and integer components; rows with unusable components are left out."""
+    most = float(1 << 63)
+
+    def whole(v):
+        scaled = F.floor(v * F.lit(scale))
+        large = F.abs(v * F.lit(scale)) >= most
+        return F.when(large, F.raise_error(F.lit("a component is too large for a long"))).otherwise(scaled.cast("bigint"))
+
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    return table.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(scale)).cast("bigint")).alias("v"))
+    return table.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _by_length(ids: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,7 +80,10 @@ class Shard:
     def search(self, query: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The k best other vectors; with ``floor``, only those that may reach it."""
         v, qq = self.v, q
-        if v.dtype == np.float64 and int(np.abs(q).max()) * self.big * len(q) < 1 << 52:
+        bound = max(abs(int(q.max())), abs(int(q.min()))) * self.big * len(q)
+        if bound >= 1 << 62:
+            return self._wide(query, q, k)
+        if v.dtype == np.float64 and bound < 1 << 52:
             qq = q.astype(np.float64)
         else:
             v = self.exact
@@ -97,6 +111,13 @@ class Shard:
         return _best(self.ids[alive][other], score[other].astype(np.int64), k)
 
 
+    def _wide(self, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every score as a whole number of any size; one beyond a long becomes its end, which no result may show."""
+        score = self.exact.astype(object) @ q.astype(object)
+        best = sorted((-s, i) for s, i in zip(score.tolist(), self.ids.tolist(), strict=True) if i != query)[:k]
+        return np.array([i for _, i in best], np.int64), np.array([max(_LEAST, min(_MOST, -s)) for s, _ in best], np.int64)
+
+
 def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
     best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
@@ -144,4 +165,5 @@ def top_k(table: DataFrame, is_query, k: int = 5, round_size: int = ROUND) -> Da
     if out is None:
         out = spark.createDataFrame([], SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score").isin(_LEAST, _MOST), F.raise_error(F.lit("a score is too large for a long"))).otherwise(F.col("score"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
