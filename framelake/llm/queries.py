@@ -102,7 +102,7 @@ p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 's
 r AS (SELECT t.*, p.perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
   CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name FROM t JOIN p USING (conv_id))
 SELECT conv_id, perspective, turn, role, name,
-  '<|' || role || coalesce(' name=' || name, '') || '|>' || chr(10) || said || '<|end|>' || chr(10) AS rendered,
+  '<|' || replace(role, '<|', '<\\|') || coalesce(' name=' || replace(name, '<|', '<\\|'), '') || '|>' || chr(10) || replace(said, '<|', '<\\|') || '<|end|>' || chr(10) AS rendered,
   role = 'assistant' AS learn, length(said) AS n_chars, CASE WHEN role = 'assistant' THEN length(said) ELSE 0 END AS n_learn
 FROM r
 """
