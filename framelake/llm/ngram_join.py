@@ -17,8 +17,11 @@ come cannot lift them over the bound that their sizes set.
    any other column are tied to its smallest one: a star, not all pairs.  Rows
    of a common column are first tied within salted shares, then share by share.
 4. Rows tied together, directly or not, are a candidate group, which holds
-   every link of its rows.  Groups are cut into blocks, each pair of blocks is
-   multiplied, and a pair of blocks returns links that span its components.
+   every link of its rows.  Groups are cut into blocks of bounded bytes.  Rows of
+   a large group are first multiplied with one of them, the centre; those that
+   link with it are settled, as they are one component already.  What is left is
+   every pair with a row that is not settled: those pairs of blocks are
+   multiplied, and each returns links that span its components.
 5. Components of those links, with all copies, are the result.
 
 Cases: null or empty text has an empty set and its own component; fewer words
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .graph import components, membership
+from .graph import components, frequent, joined, membership
 from .storage import saved
 
 #: Counters at least and at most, bytes of text for each, and how many travel in one row.
@@ -50,8 +53,8 @@ COMMON = 255
 SALTS = 32
 #: Rows of a column whose pairs are counted; of more rows, all are tied.
 FEW = 12
-#: Rows of a block at least, and blocks of a group at most, until blocks get too large.
-BLOCK, MOST_BLOCKS, LARGEST = 256, 12, 8192
+#: N-grams of a block at least, and blocks of a group at most, until blocks get too large (8 bytes each).
+BLOCK, MOST_BLOCKS, LARGEST = 1 << 16, 12, 1 << 19
 #: Rows and columns multiplied at a time.
 TILE, COLUMNS = 1024, 2048
 
@@ -303,15 +306,24 @@ def block_links(sig: np.ndarray, blobs: list[bytes], block: np.ndarray, percent:
     return out
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest reachable id) for every row of ``docs``."""
-    rows = saved(_rows(docs, n), narrow=True)
-    first = saved(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    groups = saved(candidate_groups(docs, rows, n, percent))
-    size = groups.groupBy("component").agg(F.count("*").alias("rows"))
-    blocks = F.greatest(F.least(F.ceil(F.col("rows") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("rows") / LARGEST)).cast("int")
-    members = saved(groups.join(size, "component").withColumn("blocks", blocks).join(first, F.col("node") == F.col("sig")).select("sig", "rep", "component", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")))
-    # columns come from the row with a signature's smallest id; where all its rows lack one, from any, once a task
+def star_links(columns: list[bytes], centre: bytes, percent: int) -> np.ndarray:
+    """Which rows link with the centre of their group."""
+    c = np.frombuffer(centre, np.uint64)
+    values = [np.frombuffer(x, np.uint64) for x in columns]
+    size = np.array([len(v) for v in values], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *values])
+    at = np.minimum(np.searchsorted(c, flat), len(c) - 1)
+    both = np.concatenate([[0], np.cumsum(c[at] == flat)])
+    end = np.cumsum(size)
+    return (both[end] - both[end - size]) * (100 + percent) >= percent * (size + len(c))
+
+
+def _columns(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """own and columns of the rows that ``members`` (sig, rep) name.
+
+    Columns come from the row with a signature's smallest id; where all its rows
+    lack one, from any, once a task: a signature may come from several rows.
+    """
     named, unnamed = members.where("rep is not null"), members.where("rep is null")
     wanted = docs.sparkSession.sparkContext.broadcast((membership(named, "rep", named.count()), membership(unnamed, "sig", unnamed.count())))
 
@@ -331,17 +343,63 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
                 use = np.flatnonzero(use)
                 yield pa.RecordBatch.from_arrays([pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in use.tolist()], pa.binary()), pa.array(own[use])], names=["columns", "own"])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(pick, "columns binary, own bigint"))
-    found = members.join(found, F.col("sig") == F.col("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = found.select("sig", "component", "block", "columns", other.alias("other")).select("sig", "block", "columns", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(X.streamed(pick, "columns binary, own bigint"))
+
+
+def _settled(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """sig and component of the rows of large groups that link with their group's centre, its row of the smallest id."""
+    large = members.where("blocks > 1")
+    found = large.join(_columns(docs, large, n), F.col("sig") == F.col("own"))
+    share = F.when(F.col("sig") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = found.select("sig", "component", "centre", "columns", F.explode(share).alias("share"))
+
+    def star(table: pa.Table) -> pa.Table:
+        sig, centre = table["sig"].to_numpy(), table["centre"][0].as_py()
+        middle = table.filter(pa.array(sig == centre))["columns"]
+        linked = star_links(table["columns"].to_pylist(), middle[0].as_py(), percent) if len(middle) else np.zeros(len(sig), bool)
+        return table.select(["sig", "component"]).filter(pa.array(linked | (sig == centre)))
+
+    return dealt.groupBy("component", "share").applyInArrow(star, "sig bigint, component bigint").distinct()
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest reachable id) for every row of ``docs``."""
+    rows = saved(_rows(docs, n), narrow=True)
+    first = saved(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    groups = saved(candidate_groups(docs, rows, n, percent).join(first, F.col("node") == F.col("sig")).select("sig", "rep", "n", "component"))
+    order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("sig"))
+    blocks = lambda c: F.greatest(F.least(F.ceil(c / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(c / LARGEST)).cast("int")
+    size = groups.groupBy("component").agg(blocks(F.sum("n")).alias("blocks"), F.min_by("sig", order).alias("centre"), F.count("*").alias("rows"))
+    hot = saved(size.where(F.col("rows") >= frequent(groups.count())).select("component"))
+    n_hot = hot.count()
+    members = saved(joined(groups, size.drop("rows"), "component", "sig", hot, n_hot).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
+
+    # large groups: rows that link with the centre are one component already; every pair with another row is left
+    settled = saved(_settled(docs, members, n, percent))
+    stars = members.join(settled, "sig").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
+    parts = members.where("blocks = 1 or sig <> centre").join(settled.select(F.col("sig").alias("s")), F.col("sig") == F.col("s"), "left").withColumn("settled", F.col("s").isNotNull()).drop("s", "block", "centre")
+    rest = parts.groupBy("component").agg(F.sum(F.when(~F.col("settled"), F.col("n"))).alias("open"), F.sum(F.when(F.col("settled"), F.col("n")).otherwise(0)).alias("shut"))
+    rest = rest.where("open > 0").select("component", blocks(F.col("open")).alias("open"), blocks(F.col("shut")).alias("shut"))
+    parts = saved(joined(parts, rest, "component", "sig", hot, n_hot).withColumn("cell", F.pmod(F.xxhash64("sig"), F.when(F.col("settled"), F.col("shut")).otherwise(F.col("open"))).cast("int")))
+    found = parts.join(_columns(docs, parts, n), F.col("sig") == F.col("own"))
+    # an open row meets the open rows of every cell, and the settled rows of every cell (numbered below zero)
+    every = lambda many, pair: F.transform(F.sequence(F.lit(0), F.col(many) - 1), pair)
+    across = every("open", lambda c: F.struct(F.least("cell", c).alias("p"), F.greatest("cell", c).alias("q")))
+    down = F.when(F.col("shut") > 0, every("shut", lambda c: F.struct((-1 - c).alias("p"), F.col("cell").alias("q")))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))
+    up = every("open", lambda c: F.struct((-1 - F.col("cell")).alias("p"), c.alias("q")))
+    pairs = F.explode(F.when(F.col("settled"), up).otherwise(F.concat(across, down)))
+    side = F.when(F.col("settled"), -1).otherwise(F.col("cell"))
+    dealt = found.select("sig", side.alias("side"), "columns", "component", pairs.alias("pair")).select("sig", "side", "columns", "component", "pair.p", "pair.q")
 
     def multiply(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.unique(table["sig"].to_numpy(), return_index=True)[1]))  # a signature may come from several rows
-        links = block_links(table["sig"].to_numpy(), table["columns"].to_pylist(), table["block"].to_numpy(), percent)
+        p, side = table["p"][0].as_py(), table["side"].to_numpy()
+        links = []
+        if p >= 0 or (len(side) and side.min() < 0 <= side.max()):
+            links = block_links(table["sig"].to_numpy(), table["columns"].to_pylist(), side, percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    linked = components(dealt.groupBy("component", "p", "q").applyInArrow(multiply, "a bigint, b bigint"))
+    linked = components(dealt.groupBy("component", "p", "q").applyInArrow(multiply, "a bigint, b bigint").unionByName(stars))
     # every signature's component, named by the smallest id of its rows
     linked = saved(linked.join(first, F.col("node") == F.col("sig")).select("sig", "rep", "component"))
     lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))
