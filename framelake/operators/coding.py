@@ -1,55 +1,46 @@
 """Block transforms, quantization, scan order and coding costs.
 
-A block is one row with an array; matrices are small literal arrays, so the
-transforms are narrow: no join and no shuffle at any size of table.
+A block is one row with an array; the transforms' matrices are constant, so
+they are narrow, batch by batch: no join and no shuffle at any size of table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import numeric as N
+from ..functions import pictures as P
 from ..plans import constants as C
 
 
-def _product(v: Column, n: int, term, shift: int, low: int, high: int) -> Column:
-    """n x n array of rounded sums over k of ``term(row, column, k)`` = (sample, weight)."""
-    weights = F.array(*[F.lit(x).cast("bigint") for row in C.dct_matrix(n) for x in row])
-
-    def one(i: Column) -> Column:
-        row, col = F.floor(i / n).cast("int"), (i % n).cast("int")
-        total = F.lit(0).cast("bigint")
-        for k in range(n):
-            sample, weight = term(row, col, k)
-            total = total + F.get(v, sample) * F.get(weights, weight)
-        return N.clamp(N.rounded_shift(total, shift), low, high)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), one)
+def _transformed(df: DataFrame, column: str, n: int, kernel) -> DataFrame:
+    """An integer transform of a column of row-major n x n arrays, in place: a batch of blocks is two matrix products."""
+    schema = StructType([StructField(column, ArrayType(LongType())) if f.name == column else f for f in df.schema.fields])
+    at = df.columns.index(column)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocks = pc.list_flatten(b.column(at)).to_numpy(zero_copy_only=False).reshape(-1, n, n)
+            out = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (n * n), pa.int32()), pa.array(kernel(blocks).ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], out, *b.columns[at + 1 :]], names=b.schema.names)
 
-def _staged(df: DataFrame, column: str, first, second) -> DataFrame:
-    """Two products after each other; the first is a column of its own, so it is computed once."""
-    return df.withColumn("_rows", first(F.col(column))).withColumn(column, second(F.col("_rows"))).drop("_rows")
+    return df.mapInArrow(run, schema)
 
 
 def forward_dct(df: DataFrame, column: str, n: int) -> DataFrame:
     """Integer DCT of a column of row-major arrays, in place: rows first, then columns."""
-    log, wide = n.bit_length() - 1, (-(1 << 31), (1 << 31) - 1)
-    return _staged(
-        df, column,
-        lambda v: _product(v, n, lambda y, fx, k: (y * n + k, fx * n + k), log + 1, *wide),
-        lambda v: _product(v, n, lambda fy, fx, k: (fx + k * n, fy * n + k), log + 8, *wide),
-    )
+    return _transformed(df, column, n, P.forward)
 
 
 def inverse_dct(df: DataFrame, column: str, n: int) -> DataFrame:
-    log = n.bit_length() - 1
-    return _staged(
-        df, column,
-        lambda v: _product(v, n, lambda fy, x, k: (fy * n + k, x + k * n), 7, -(1 << 31), (1 << 31) - 1),
-        lambda v: _product(v, n, lambda y, x, k: (x + k * n, y + k * n), 13 - log, -32768, 32767),
-    )
+    return _transformed(df, column, n, P.inverse)
 
 
 def residuals(blocks: DataFrame) -> DataFrame:

@@ -6,8 +6,14 @@ order.  Pictures are arrays of samples; per-picture work is array expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import numeric as N
 from ..plans import constants as C
@@ -25,40 +31,33 @@ def psnr_clip(pairs: DataFrame) -> DataFrame:
     return f.select("frames", "sse", N.decibels(F.col("sse"), F.col("n")).alias("psnr"))
 
 
-def _blurred(df: DataFrame, columns: list[str], width: int, height: int) -> DataFrame:
-    """Separable 11-tap Gaussian with mirrored edges over columns of row-major arrays, in place.
-
-    Rows and columns are blurred in projections of their own, so the first is
-    computed once.
-    """
-    taps = C.gaussian()
-
-    def line(values: Column, stride: int, count: int, at) -> Column:
-        def one(i: Column) -> Column:
-            along, base = at(i)
-            return sum((F.get(values, (base + N.reflect(along + (t - C.GAUSSIAN_RADIUS), count) * stride).cast("int")) * F.lit(w) for t, w in enumerate(taps)), F.lit(0.0))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
-
-    df = df.withColumns({c: line(F.col(c), 1, width, lambda i: (i % width, i - i % width)) for c in columns})
-    return df.withColumns({c: line(F.col(c), width, height, lambda i: (F.floor(i / width).cast("int"), i % width)) for c in columns})
+def _blur(n: int) -> np.ndarray:
+    """The 11-tap Gaussian over n samples as a matrix; samples outside are mirrored at the edge."""
+    out = np.zeros((n, n))
+    for i in range(n):
+        for t, w in enumerate(C.gaussian()):
+            m = (i + t - C.GAUSSIAN_RADIUS) % (2 * (n - 1)) if n > 1 else 0
+            out[i, 2 * (n - 1) - m if m >= n else m] += w
+    return out
 
 
 def ssim_frames(pairs: DataFrame, width: int, height: int) -> DataFrame:
-    """frame, ssim (mean of the map) and n, for arrays of width x height samples."""
-    p = pairs.select("frame", F.transform("ref", lambda x: x.cast("double")).alias("a"), F.transform("dist", lambda x: x.cast("double")).alias("b"))
-    square = lambda x, y: F.zip_with(x, y, lambda s, t: s * t)
-    p = p.select("frame", F.col("a").alias("ma"), F.col("b").alias("mb"), square("a", "a").alias("maa"), square("b", "b").alias("mbb"), square("a", "b").alias("mab"))
-    p = _blurred(p, ["ma", "mb", "maa", "mbb", "mab"], width, height)
-    z = F.arrays_zip("ma", "mb", "maa", "mbb", "mab")
-
-    def index(e: Column) -> Column:
-        ma, mb = e["ma"], e["mb"]
-        va, vb, cov = e["maa"] - ma * ma, e["mbb"] - mb * mb, e["mab"] - ma * mb
-        return (ma * mb * 2 + C.SSIM_C1) * (cov * 2 + C.SSIM_C2) / ((ma * ma + mb * mb + C.SSIM_C1) * (va + vb + C.SSIM_C2))
-
-    total = F.aggregate(F.transform(z, index), F.lit(0.0), lambda s, x: s + x)
-    return p.select("frame", (total / (width * height)).alias("ssim"), F.lit(width * height).cast("bigint").alias("n"))
+    """frame, ssim (mean of the map) and n, for arrays of width x height samples.
+
+    The blur is two constant matrices, so a batch of pictures is two matrix products for each moment.
+    """
+    rows, cols = _blur(height), _blur(width).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False).astype(float).reshape(-1, height, width) for i in (1, 2))
+            ma, mb, aa, bb, ab = (rows @ x @ cols for x in (a, b, a * a, b * b, a * b))
+            va, vb, cov = aa - ma * ma, bb - mb * mb, ab - ma * mb
+            index = (2 * ma * mb + C.SSIM_C1) * (2 * cov + C.SSIM_C2) / ((ma * ma + mb * mb + C.SSIM_C1) * (va + vb + C.SSIM_C2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.mean((1, 2))), pa.array(np.full(len(a), width * height))], names=["frame", "ssim", "n"])
+
+    schema = StructType([pairs.schema["frame"], StructField("ssim", DoubleType()), StructField("n", LongType())])
+    return pairs.select("frame", "ref", "dist").mapInArrow(run, schema)
 
 
 def ssim_clip(pairs: DataFrame, width: int, height: int) -> DataFrame:

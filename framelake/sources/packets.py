@@ -10,12 +10,13 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import crc32c
+from ..functions.hashing import crc32c, crc32c_many, crc32c_rows
 from ..functions.numeric import little_endian
 from ..plans import constants as C
 
@@ -81,6 +82,19 @@ def legal_flags(flags: int) -> bool:
     return not flags & 0xF8 and bool(flags & SHOW) and not (flags & KEY and not flags & GOLDEN)
 
 
+def encode_packets(packets: list[tuple[int, int, int, bytes]]) -> bytes:
+    """Packets (index, flags, qp, payload) one after another, their checksums worked out together."""
+    if not packets:
+        return b""
+    for _, flags, qp, payload in packets:
+        if not C.PAYLOAD_BYTES[0] <= len(payload) <= C.PAYLOAD_BYTES[1] or not 0 <= qp <= C.QP_MAX or not legal_flags(flags):
+            raise FormatError("packet", 0)
+    middle = [struct.pack("<IIBBH", len(payload), index, flags, qp, 0) for index, flags, qp, payload in packets]
+    head = crc32c_rows(np.frombuffer(b"".join(middle), np.uint8).reshape(-1, 12)).tolist()
+    body = crc32c_many([p[3] for p in packets]).tolist()
+    return b"".join(PACKET_MAGIC + m + struct.pack("<II", h, b) + p[3] for m, h, b, p in zip(middle, head, body, packets, strict=True))
+
+
 def encode_packet(frame_index: int, flags: int, qp: int, payload: bytes) -> bytes:
     if not C.PAYLOAD_BYTES[0] <= len(payload) <= C.PAYLOAD_BYTES[1] or not 0 <= qp <= C.QP_MAX or not legal_flags(flags):
         raise FormatError("packet", 0)
@@ -88,30 +102,43 @@ def encode_packet(frame_index: int, flags: int, qp: int, payload: bytes) -> byte
     return PACKET_MAGIC + middle + struct.pack("<II", crc32c(middle), crc32c(payload)) + payload
 
 
-def decode_header(data: bytes, at: int = 0) -> Packet | None:
-    """The packet header at a place, or None if there is no sound one."""
+def decode_header(data: bytes, at: int = 0, checksum: int | None = None) -> Packet | None:
+    """The packet header at a place, or None if there is no sound one; ``checksum``: that of its fields, if known."""
     if at + C.HEADER_BYTES > len(data):
         return None
     magic, size, index, flags, qp, reserved, head_crc, crc = _PACKET.unpack_from(data, at)
-    sound = magic == PACKET_MAGIC and head_crc == crc32c(data[at + 4 : at + 16]) and reserved == 0 and qp <= C.QP_MAX and legal_flags(flags) and C.PAYLOAD_BYTES[0] <= size <= C.PAYLOAD_BYTES[1]
+    sound = magic == PACKET_MAGIC and head_crc == (crc32c(data[at + 4 : at + 16]) if checksum is None else checksum) and reserved == 0 and qp <= C.QP_MAX and legal_flags(flags) and C.PAYLOAD_BYTES[0] <= size <= C.PAYLOAD_BYTES[1]
     return Packet(index, flags, qp, size, crc) if sound else None
 
 
-def events(data: bytes, start: int = C.HEADER_BYTES) -> Iterator[tuple[str, int, Packet]]:
-    """(packet, payload_corrupt or truncated; offset; header) in order; false and stale starts are stepped over."""
-    at, last = start, -1
-    while (at := data.find(PACKET_MAGIC, at)) >= 0:
-        p = decode_header(data, at)
+def events(data: bytes, start: int = C.HEADER_BYTES) -> list[tuple[str, int, Packet]]:
+    """(packet, payload_corrupt or truncated; offset; header) in order; false and stale starts are stepped over.
+
+    Every mark in the stream is looked at first, and all their headers are
+    checked together; then those that the walk meets, and their payloads.
+    """
+    marks, at = [], data.find(PACKET_MAGIC, start)
+    while at >= 0 and at + C.HEADER_BYTES <= len(data):
+        marks.append(at)
+        at = data.find(PACKET_MAGIC, at + 1)
+    if not marks:
+        return []
+    raw = np.frombuffer(data, np.uint8)[np.array(marks)[:, None] + np.arange(4, 16)]
+    met: list[tuple[int, Packet, bool]] = []
+    free, last = start, -1
+    for at, crc in zip(marks, crc32c_rows(raw).tolist(), strict=True):
+        if at < free:
+            continue
+        p = decode_header(data, at, crc)
         if p is None or p.frame_index <= last:
-            at += 1
             continue
-        last = p.frame_index
-        if at + p.size > len(data):
-            yield "truncated", at, p
-            return
-        sound = crc32c(data[at + C.HEADER_BYTES : at + p.size]) == p.payload_crc
-        yield ("packet" if sound else "payload_corrupt"), at, p
-        at += p.size
+        last, free = p.frame_index, at + p.size
+        met.append((at, p, free <= len(data)))
+        if free > len(data):
+            break
+    whole = [(at, p) for at, p, complete in met if complete]
+    sound = iter((crc32c_many([data[at + C.HEADER_BYTES : at + p.size] for at, p in whole]) == [p.payload_crc for _, p in whole]).tolist() if whole else [])
+    return [(("packet" if next(sound) else "payload_corrupt") if complete else "truncated", at, p) for at, p, complete in met]
 
 
 def scan(streams: DataFrame, strict: bool = False) -> DataFrame:
@@ -172,7 +199,7 @@ def build_streams(packets: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        body = b"".join(encode_packet(i, (KEY | GOLDEN if k else 0) | SHOW, 32, bytes(p)) for i, k, p in zip(pdf["frame_index"].tolist(), pdf["key"].tolist(), pdf["payload"].tolist(), strict=True))
+        body = encode_packets([(i, (KEY | GOLDEN if k else 0) | SHOW, 32, bytes(p)) for i, k, p in zip(pdf["frame_index"].tolist(), pdf["key"].tolist(), pdf["payload"].tolist(), strict=True)])
         return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "data": [encode_stream(Stream(64, 64, 25, 1)) + body]})
 
     return packets.groupBy("stream_id").applyInPandas(run, "stream_id bigint, data binary")
@@ -193,9 +220,3 @@ def damage(streams: DataFrame, every: int = 7) -> DataFrame:
             yield b.assign(data=[turn(bytes(x)) for x in b["data"]])
 
     return streams.mapInPandas(run, streams.schema)
-
-
-def with_crc(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    from ..functions.hashing import crc32c_column
-
-    return payloads.withColumn("crc32c", crc32c_column(F.col(column)))

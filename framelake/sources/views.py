@@ -70,12 +70,9 @@ def motion_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaf_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, size, x, y, cost: cost of coding each square of a 64-pixel block whole."""
-    base = samples(spark, sf_dir).select(F.col("block_id").alias("frame"), (F.col("x") * 8).alias("x"), (F.col("y") * 8).alias("y"), "v")
-    out = None
-    for size in (8, 16, 32, 64):
-        cut = lambda c: (F.floor(F.col(c) / size) * size).cast("int")  # noqa: B023, E731
-        g = base.groupBy("frame", cut("x").alias("x"), cut("y").alias("y")).agg(F.sum(F.col("v") * F.col("v")).alias("s2"), F.sum("v").alias("s"), F.count("*").alias("n"))
-        g = g.select("frame", F.lit(size).alias("size"), "x", "y", (F.col("s2") - F.floor(F.col("s") * F.col("s") / F.col("n")) + 900).cast("bigint").alias("cost"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """frame, size, x, y, cost: cost of coding each square of a 64-pixel block whole; all sizes are summed in one pass."""
+    base = samples(spark, sf_dir).select(F.col("block_id").alias("frame"), (F.col("x") * 8).alias("x"), (F.col("y") * 8).alias("y"), F.col("v").cast("bigint").alias("v"))
+    cut = lambda c, size: (F.floor(F.col(c) / size) * size).cast("int")
+    square = F.explode(F.array(*[F.struct(F.lit(size).alias("size"), cut("x", size).alias("x"), cut("y", size).alias("y")) for size in (8, 16, 32, 64)]))
+    g = base.select("frame", "v", square.alias("s")).groupBy("frame", "s.size", "s.x", "s.y").agg(F.sum(F.col("v") * F.col("v")).alias("s2"), F.sum("v").alias("s"), F.count("*").alias("n"))
+    return g.select("frame", "size", "x", "y", (F.col("s2") - F.floor(F.col("s") * F.col("s") / F.col("n")) + 900).cast("bigint").alias("cost"))
