@@ -11,9 +11,11 @@ from .functions import numeric as N
 from .functions.hashing import crc_table
 from .operators import decoding as D
 from .operators import encoding, quality
+from .operators import verification as VF
 from .plans import constants as C
 from .queries import ORACLES, SAMPLES, _shift, _sql_table, query
 from .sources import clips, synthetic
+from .sources import fragments as FR
 from .sources import packets as PK
 from .sources import reports as R
 from .sources import views as V
@@ -348,3 +350,75 @@ def encode_decode(spark, d):
     coded = saved(encoding.encode(clips.enlarged(spark, d), 37, "no-split", key_interval=4))
     shown = D.decode(PK.payloads(encoding.streams(coded))).select("stream_id", F.col("frame_index").alias("frame"), "status", F.col("y").alias("y2"), F.col("cb").alias("cb2"))
     return coded.join(shown, ["stream_id", "frame"]).select("stream_id", "frame", "key", ((F.col("y") == F.col("y2")) & (F.col("cb") == F.col("cb2"))).alias("same"), "status")
+
+
+# -- verification -------------------------------------------------------------------
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, pos AS frame_index, pos - nth AS entry, nth + 1 AS decoded, TRUE AS same FROM f")
+def seek_equivalence(spark, d):
+    """Every frame, sought alone, against decoding from the start."""
+    return VF.seek_equivalence(_packets(spark, d))
+
+
+@query(f"WITH {FRAMES} SELECT DISTINCT stream_id, 'refused' AS outcome, 'sequence.header' AS element FROM f")
+def header_damage(spark, d):
+    """One bit turned over in every stream's header: none may decode."""
+    return VF.damage_outcomes(clips.element_streams(spark, d), "header_fuzz", seed=11)
+
+
+_PSNR = SAMPLES + """, pair AS (SELECT a.block_id // 8 AS clip, a.block_id, sum((a.v - b.v) * (a.v - b.v)) AS sse FROM samples a JOIN samples b ON b.block_id = a.block_id // 8 * 8 + (a.block_id + 1) % 8 AND b.i = a.i GROUP BY a.block_id),
+whole AS (SELECT clip FROM pair GROUP BY clip HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT block_id FROM samples) s WHERE s.block_id // 8 = clip)),
+m AS (SELECT clip, count(*) AS frames, CAST(sum(sse) AS DOUBLE) AS sse FROM pair JOIN whole USING (clip) GROUP BY clip)"""
+
+
+def _turned(spark, d):
+    """Clips of eight small pictures, and the same with each picture in its neighbour's place."""
+    p = clips.small_pictures(spark, d).select(F.floor(F.col("picture") / 8).cast("string").alias("clip"), (F.col("picture") % 8).alias("frame"), "width", "height", "y")
+    whole = p.groupBy("clip").count().where("count = 8").select("clip")
+    p = p.join(whole, "clip")
+    return p, p.withColumn("frame", (F.col("frame") + 7) % 8)
+
+
+@query(f"WITH {_PSNR} SELECT CAST(clip AS VARCHAR) AS clip, frames, FALSE AS lossless, round(10 * log10(65025.0 * 64 * frames / sse), 6) AS global, 'PSNR-Y  ' || format('{{:.4f}}', 10 * log10(65025.0 * 64 * frames / sse)) || ' dB over ' || frames || ' frames' AS line FROM m WHERE frames = 8")
+def quality_reports(spark, d):
+    """Reports of clips against others, and the line that a report is read as."""
+    r = VF.quality_reports(*_turned(spark, d), "psnr")
+    at = lambda f, kind: F.get_json_object("report", f"$.{f}").cast(kind).alias(f)
+    return r.select("clip", at("frames", "bigint"), at("lossless", "boolean"), F.round(F.get_json_object("report", "$.global").cast("double"), 6).alias("global"), VF.report_line(F.col("report")).alias("line"))
+
+
+@query(f"WITH {_PSNR} SELECT CAST(clip AS VARCHAR) AS clip, f AS field FROM m, (SELECT unnest(['config_sha256', 'distorted_sha256', 'global', 'lossless', 'per_frame']) AS f) WHERE frames = 8")
+def moved_fields(spark, d):
+    """Reports recorded for a clip against itself, reproduced against another: what moved."""
+    a, b = _turned(spark, d)
+    return VF.moved_fields(VF.quality_reports(a, a, "psnr"), VF.quality_reports(a, b, "psnr")).select("clip", "field")
+
+
+@query("SELECT user_id, event_id, event_id % 97 AS frame, CASE WHEN event_id % 3 = 0 THEN 'partition,motion' ELSE 'qp' END AS overlays, CASE WHEN event_id % 2 = 0 THEN 'modeled' ELSE 'emitted' END AS basis, CASE WHEN event_id % 5 = 0 THEN event_id % 64 END AS x, CASE WHEN event_id % 7 = 0 THEN 'curves' ELSE 'projection' END AS tab, CASE WHEN event_id % 11 = 0 THEN repeat('ab', 32) END AS stream FROM events WHERE event_id % 22 <> 0 OR event_id % 13 <> 0")
+def view_fragments(spark, d):
+    """Bookmarks written and read back; bound ones with a field of their own are refused."""
+    e = V.table(spark, d, "events").select("user_id", "event_id")
+    k = F.col("event_id")
+    overlays = F.when(k % 3 == 0, F.array(F.lit("partition"), F.lit("motion"))).otherwise(F.array(F.lit("qp")))
+    x = F.when(k % 5 == 0, k % 64)
+    text = FR.encoded(k % 97, overlays, F.when(k % 2 == 0, "modeled").otherwise("emitted"), x, x, F.when(k % 7 == 0, "curves").otherwise("projection"), F.when(k % 11 == 0, F.lit("AB" * 32)))
+    text = F.when((k % 22 == 0) & (k % 13 == 0), F.concat(text, F.lit("&z=1"))).otherwise(text)
+    v = e.withColumn("v", FR.decoded(F.concat(F.lit("#"), text))).where("v is not null")
+    return v.select("user_id", "event_id", "v.frame", F.array_join("v.overlays", ",").alias("overlays"), "v.basis", "v.x", "v.tab", "v.stream")
+
+
+@query(f"WITH {FRAMES}, {_PARTS} SELECT stream_id, frame_index, CASE kind WHEN 'intra' THEN 'intra ' || mode WHEN 'skip' THEN 'skip ' || reference ELSE 'inter ' || reference || ' mv [' || mv_x || ', ' || mv_y || ']' END AS said FROM parts WHERE kind <> 'structure'")
+def probe_lines(spark, d):
+    """What predicted each block, in words; the bar and the place before it are fixed for these blocks."""
+    lines = VF.probe_lines(D.probe_blocks(D.probe(_packets(spark, d))))
+    return lines.select("stream_id", "frame_index", F.regexp_extract("line", r"^######## 64x64 at \(  0,  0\)  (.*)  modelled [0-9]+\.[0-9][0-9] bits$", 1).alias("said"))
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, pos AS frame_index, 'qp,show' AS broken FROM f WHERE nth = 1")
+def probe_faults(spark, d):
+    """Probe reports against the rules of their form; one in five is made to break two."""
+    j = D.probe_json(D.probe(_packets(spark, d)))
+    broken = F.regexp_replace(F.regexp_replace("report", '"qp":[0-9]+,"input', '"qp":99,"input'), '"show":true', '"show":false')
+    j = j.withColumn("report", F.when(F.col("frame_index") % 5 == 1, broken).otherwise(F.col("report")))
+    return VF.probe_faults(j, "report").select("stream_id", "frame_index", F.array_join("broken", ",").alias("broken"))

@@ -72,21 +72,26 @@ def _decode(state: K.State, row: dict) -> tuple[str, K.Decoded | None]:
     return recovered if recovered and row["key"] else "shown", got
 
 
-def decode(packets: DataFrame) -> DataFrame:
-    """status and picture (visible part; null where there is none) of every packet of damaged or sound streams."""
+def _shown(state: K.State, row: dict) -> Iterator[tuple]:
+    status, got = _decode(state, row)
+    planes = [p.tobytes() for p in P.crop(got.picture, row["width"], row["height"])] if got else [None] * 3
+    yield (row["stream_id"], row["pos"], row["frame_index"], row["key"], status, row["width"], row["height"], *planes)
 
-    def step(state: K.State, row: dict) -> Iterator[tuple]:
-        status, got = _decode(state, row)
-        planes = [p.tobytes() for p in P.crop(got.picture, row["width"], row["height"])] if got else [None] * 3
-        yield (row["stream_id"], row["pos"], row["frame_index"], row["key"], status, row["width"], row["height"], *planes)
 
-    return _walked(grouped(packets), step, PICTURE)
+def pictures_of(groups: DataFrame) -> DataFrame:
+    """status and picture of every packet of ``groups``, each group (stream_id, gop) from a fresh state."""
+    return _walked(groups, _shown, PICTURE)
+
+
+def decode(packets: DataFrame) -> DataFrame:
+    """status and picture (visible part; null where there is none) of every packet of damaged or sound streams."""
+    return pictures_of(grouped(packets))
 
 
 def faults(decoded: DataFrame, packets: DataFrame) -> DataFrame:
     """stream_id, pos and element of the first fault for which a strict decoder refuses a stream.
 
-    A gap of indices, a damaged or truncated packet, bytes between packets, a
+    A bad stream header, a gap of indices, a damaged or truncated packet, bytes between packets, a
     first packet that is no keyframe, or a payload that breaks the syntax.
     """
     w = Window.partitionBy("stream_id").orderBy("pos")
@@ -94,7 +99,7 @@ def faults(decoded: DataFrame, packets: DataFrame) -> DataFrame:
     seen = grouped(packets).withColumn("due", due).select("stream_id", "pos", "event", "offset", "due", "frame_index", "expected", "key")
     every = seen.join(decoded.select("stream_id", "pos", "status"), ["stream_id", "pos"])
     element = (
-        F.when(F.col("offset") != F.col("due"), "packet.sync").when(F.col("event") != "packet", F.concat(F.lit("packet."), "event"))
+        F.when(F.col("event") == "bad_header", "sequence.header").when(F.col("offset") != F.col("due"), "packet.sync").when(F.col("event") != "packet", F.concat(F.lit("packet."), "event"))
         .when(F.col("frame_index") != F.col("expected"), "packet.frame_index_gap").when((F.col("expected") == 0) & ~F.col("key"), "pframe.references").when(~has_image(F.col("status")), "payload")
     )
     bad = every.withColumn("element", element).where("element is not null")
@@ -126,12 +131,7 @@ def seek(packets: DataFrame, targets: DataFrame, onwards: bool = False) -> DataF
     # a seek starts at its keyframe whatever was lost before it
     used = used.withColumn("expected", F.when(F.col("key"), F.col("frame_index")).otherwise(F.col("expected")))
 
-    def step(state: K.State, row: dict) -> Iterator[tuple]:
-        status, got = _decode(state, row)
-        planes = [p.tobytes() for p in P.crop(got.picture, row["width"], row["height"])] if got else [None] * 3
-        yield (row["stream_id"], row["pos"], row["frame_index"], row["key"], status, row["width"], row["height"], *planes)
-
-    shown = _walked(used, step, PICTURE).where(has_image(F.col("status")))
+    shown = pictures_of(used).where(has_image(F.col("status")))
     keys = at.select("stream_id", "target", F.col("upto").alias("pos"))
     if onwards:
         first = keys.groupBy("stream_id").agg(F.min("target").alias("target"), F.min("pos").alias("first"))

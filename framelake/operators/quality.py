@@ -7,6 +7,7 @@ order.  Pictures are arrays of samples; per-picture work is array expressions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ def psnr_clip(pairs: DataFrame) -> DataFrame:
     return f.select("frames", "sse", N.decibels(F.col("sse"), F.col("n")).alias("psnr"))
 
 
+@cache
 def _blur(n: int) -> np.ndarray:
     """The 11-tap Gaussian over n samples as a matrix; samples outside are mirrored at the edge."""
     out = np.zeros((n, n))
@@ -41,20 +43,21 @@ def _blur(n: int) -> np.ndarray:
     return out
 
 
-def ssim_frames(pairs: DataFrame, width: int, height: int) -> DataFrame:
-    """frame, ssim (mean of the map) and n, for arrays of width x height samples.
+def ssim_map(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity at every sample of pictures (n, height, width).  The blur is two constant matrices."""
+    rows, cols = _blur(a.shape[1]), _blur(a.shape[2]).T
+    ma, mb, aa, bb, ab = (rows @ x @ cols for x in (a, b, a * a, b * b, a * b))
+    va, vb, cov = aa - ma * ma, bb - mb * mb, ab - ma * mb
+    return (2 * ma * mb + C.SSIM_C1) * (2 * cov + C.SSIM_C2) / ((ma * ma + mb * mb + C.SSIM_C1) * (va + vb + C.SSIM_C2))
 
-    The blur is two constant matrices, so a batch of pictures is two matrix products for each moment.
-    """
-    rows, cols = _blur(height), _blur(width).T
+
+def ssim_frames(pairs: DataFrame, width: int, height: int) -> DataFrame:
+    """frame, ssim (mean of the map) and n, for arrays of width x height samples, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False).astype(float).reshape(-1, height, width) for i in (1, 2))
-            ma, mb, aa, bb, ab = (rows @ x @ cols for x in (a, b, a * a, b * b, a * b))
-            va, vb, cov = aa - ma * ma, bb - mb * mb, ab - ma * mb
-            index = (2 * ma * mb + C.SSIM_C1) * (2 * cov + C.SSIM_C2) / ((ma * ma + mb * mb + C.SSIM_C1) * (va + vb + C.SSIM_C2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.mean((1, 2))), pa.array(np.full(len(a), width * height))], names=["frame", "ssim", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ssim_map(a, b).mean((1, 2))), pa.array(np.full(len(a), width * height))], names=["frame", "ssim", "n"])
 
     schema = StructType([pairs.schema["frame"], StructField("ssim", DoubleType()), StructField("n", LongType())])
     return pairs.select("frame", "ref", "dist").mapInArrow(run, schema)

@@ -161,8 +161,11 @@ def scan(streams: DataFrame, strict: bool = False) -> DataFrame:
     return streams.select("stream_id", "data").mapInPandas(run, "stream_id bigint, pos bigint, event string, offset bigint, frame_index bigint, key boolean, golden boolean, qp int, payload_len bigint")
 
 
-def payloads(streams: DataFrame) -> DataFrame:
-    """The packets of ``scan`` with their payload (null where damaged) and the stream's size; a stream with a bad header is an error."""
+def payloads(streams: DataFrame, bad_headers: bool = False) -> DataFrame:
+    """The packets of ``scan`` with their payload (null where damaged) and the stream's size.
+
+    A stream with a bad header is an error, or with ``bad_headers`` one row of the event ``bad_header``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["stream_id", "pos", "event", "offset", "frame_index", "key", "golden", "qp", "payload_len", "width", "height", "payload"]
@@ -171,7 +174,13 @@ def payloads(streams: DataFrame) -> DataFrame:
             for stream, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if data is None:
                     continue
-                head = decode_stream(data)
+                try:
+                    head = decode_stream(data)
+                except FormatError:
+                    if not bad_headers:
+                        raise
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((stream, 0, "bad_header", 0, 0, False, False, 0, 0, 0, 0, None), kinds, strict=True)], names=names)
+                    continue
                 rows = [
                     (stream, pos, event, at, p.frame_index, bool(p.flags & KEY), bool(p.flags & GOLDEN), p.qp, p.payload_len, head.width, head.height, data[at + C.HEADER_BYTES : at + p.size] if event == "packet" else None)
                     for pos, (event, at, p) in enumerate(events(data))
