@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import text as X
-from .storage import saved
+from .storage import dropped, saved
 
 #: Bits of the largest membership filter that is sent to tasks.
 MOST_BITS = 1 << 27
@@ -36,7 +36,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = saved(small.where("a <> b").distinct())
+        old, edges = edges, saved(small.where("a <> b").distinct())
+        dropped(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
         if now == before:
             break

@@ -7,7 +7,8 @@ come cannot lift them over the bound that their sizes set.
 
 1. Documents with the same set are one row (a 64-bit signature stands for it).
 2. How common a column is, an array of counters tells, summed over all
-   documents; every row is ordered by it, rare columns first.  Columns far above
+   documents; every row is ordered by it, rare columns first, and those that
+   stand once are not dealt.  Columns far above
    the mean are called common.  Any fixed order is right; a good one keeps rows
    apart that share only what many share.
 3. Two rows that link share one of their first ``n - ceil(t n) + 1`` columns in
@@ -43,18 +44,22 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .graph import components, frequent, joined, membership
-from .storage import saved
+from .storage import dropped, saved
 
 #: Counters at least and at most, bytes of text for each, and how many travel in one row.
 COUNTERS, BYTES_A_COUNTER, COUNTER_ROW = (1 << 16, 1 << 25), 24, 1 << 14
-#: Rank of a column whose counter is far above the mean.
-COMMON = 255
+#: Rank of a column whose counter is far above the mean, and of one that stands once in all documents.
+COMMON, ALONE = 255, 0
+#: Input partitions that one task counts at most.
+COUNTED = 16
 #: Shares into which the rows of a common column are dealt.
 SALTS = 32
 #: Rows of a column whose pairs are counted; of more rows, all are tied.
 FEW = 12
 #: N-grams of a block at least, and blocks of a group at most, until blocks get too large (8 bytes each).
-BLOCK, MOST_BLOCKS, LARGEST = 1 << 16, 12, 1 << 19
+BLOCK, MOST_BLOCKS, LARGEST = 1 << 18, 12, 1 << 20
+#: Blocks from which on a group's centre is looked at first.
+SETTLE = 4
 #: Rows and columns multiplied at a time.
 TILE, COLUMNS = 1024, 2048
 
@@ -97,7 +102,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
     """Rank of every counter: 128 at the mean, 16 a standard deviation, COMMON from eight of them on.
 
-    A task's counters stop at 255; the rank would be COMMON long before.
+    A task's counters stop at 255; the rank would be COMMON long before.  Tasks
+    are as many as the cluster runs at a time, or more where they would have too
+    much to count, as each sends a set of counters.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     counters = COUNTERS[0]
@@ -120,11 +127,14 @@ def column_ranks(docs: DataFrame, n: int) -> np.ndarray:
         for x in table["counts"]:
             total += _unpacked(x.as_py())
         mean = total.mean()
-        rank = np.clip(np.round((total - mean) / max(1.0, np.sqrt(mean)) * 16) + 128, 0, COMMON).astype(np.uint8)
+        rank = np.clip(np.round((total - mean) / max(1.0, np.sqrt(mean)) * 16) + 128, 1, COMMON).astype(np.uint8)
+        rank[total <= 1] = ALONE
         return pa.table({"part": table["part"][:1], "counts": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())})
 
     schema = "part int, counts binary"
-    got = docs.select("text").transform(X.streamed(count, schema)).groupBy("part").applyInArrow(add, schema).toArrow()
+    texts = docs.select("text")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // COUNTED))
+    got = texts.coalesce(tasks).transform(X.streamed(count, schema)).groupBy("part").applyInArrow(add, schema).toArrow()
     out = np.full(counters, 128, np.uint8)
     for part, rank in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
         out[part * COUNTER_ROW : (part + 1) * COUNTER_ROW] = np.frombuffer(zlib.decompress(rank), np.uint8)
@@ -162,8 +172,10 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 h, who, last = h[order], who[order], rank[order] == COMMON
                 size = np.bincount(who, minlength=len(sig))
                 place = np.arange(len(h)) - (np.cumsum(size) - size)[who]
-                keep = place < (size - -(-size * percent // 100) + 1)[who]
-                h, last, s = h[keep], last[keep], sig[who[keep]]
+                # a column that stands once is no other row's
+                keep = (place < (size - -(-size * percent // 100) + 1)[who]) & (rank[order] != ALONE)
+                # 48 bits of a column are enough to deal rows by: two columns that fall together only tie more rows
+                h, last, s = h[keep] & np.uint64((1 << 48) - 1), last[keep], sig[who[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(last, 1 + (s.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int32)), pa.array(s)], names=["h", "salt", "sig"])
 
     return docs.select("text").transform(X.streamed(run, "h bigint, salt int, sig bigint"))
@@ -230,7 +242,9 @@ def candidate_groups(docs: DataFrame, rows: DataFrame, n: int, percent: int) ->
     heads = tied.where("kind = 2").select(F.col("a").alias("low"), F.col("b").alias("h")).distinct()
     lowest = heads.groupBy("h").agg(F.min("low").alias("lowest"))
     links = pairs.where(fits).select("a", "b").unionByName(tied.where("kind = 1").select("a", "b")).unionByName(heads.join(lowest, "h").select(F.col("low").alias("a"), F.col("lowest").alias("b")))
-    return components(links)
+    groups = components(links)
+    dropped(tied, size, info)
+    return groups
 
 
 def _overlaps(cols: np.ndarray, rows: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -348,7 +362,7 @@ def _columns(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def _settled(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """sig and component of the rows of large groups that link with their group's centre, its row of the smallest id."""
-    large = members.where("blocks > 1")
+    large = members.where(f"blocks >= {SETTLE}")
     found = large.join(_columns(docs, large, n), F.col("sig") == F.col("own"))
     share = F.when(F.col("sig") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     dealt = found.select("sig", "component", "centre", "columns", F.explode(share).alias("share"))
@@ -370,14 +384,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("sig"))
     blocks = lambda c: F.greatest(F.least(F.ceil(c / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(c / LARGEST)).cast("int")
     size = groups.groupBy("component").agg(blocks(F.sum("n")).alias("blocks"), F.min_by("sig", order).alias("centre"), F.count("*").alias("rows"))
-    hot = saved(size.where(F.col("rows") >= frequent(groups.count())).select("component"))
+    size = saved(size)
+    sizes = size.agg(F.sum("rows").alias("rows"), F.max("blocks").alias("blocks")).first()
+    hot = size.where(F.col("rows") >= frequent(sizes["rows"] or 0)).select("component")
     n_hot = hot.count()
     members = saved(joined(groups, size.drop("rows"), "component", "sig", hot, n_hot).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
 
     # large groups: rows that link with the centre are one component already; every pair with another row is left
-    settled = saved(_settled(docs, members, n, percent))
+    empty = docs.sparkSession.createDataFrame([], "sig bigint, component bigint")
+    settled = saved(_settled(docs, members, n, percent)) if (sizes["blocks"] or 0) >= SETTLE else empty
     stars = members.join(settled, "sig").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
-    parts = members.where("blocks = 1 or sig <> centre").join(settled.select(F.col("sig").alias("s")), F.col("sig") == F.col("s"), "left").withColumn("settled", F.col("s").isNotNull()).drop("s", "block", "centre")
+    parts = members.where(f"blocks < {SETTLE} or sig <> centre").join(settled.select(F.col("sig").alias("s")), F.col("sig") == F.col("s"), "left").withColumn("settled", F.col("s").isNotNull()).drop("s", "block", "centre")
     rest = parts.groupBy("component").agg(F.sum(F.when(~F.col("settled"), F.col("n"))).alias("open"), F.sum(F.when(F.col("settled"), F.col("n")).otherwise(0)).alias("shut"))
     rest = rest.where("open > 0").select("component", blocks(F.col("open")).alias("open"), blocks(F.col("shut")).alias("shut"))
     parts = saved(joined(parts, rest, "component", "sig", hot, n_hot).withColumn("cell", F.pmod(F.xxhash64("sig"), F.when(F.col("settled"), F.col("shut")).otherwise(F.col("open"))).cast("int")))
@@ -400,6 +417,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     linked = components(dealt.groupBy("component", "p", "q").applyInArrow(multiply, "a bigint, b bigint").unionByName(stars))
+    dropped(parts, members, groups, size)
     # every signature's component, named by the smallest id of its rows
     linked = saved(linked.join(first, F.col("node") == F.col("sig")).select("sig", "rep", "component"))
     lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .storage import saved
+from .storage import dropped, saved
 
 #: Random features, kernel width (in standard deviations a statistic), ridge per training row.
 FEATURES, WIDTH, RIDGE = 192, 1.2, 1e-3
@@ -165,6 +165,7 @@ def _fit(rows: DataFrame, labels: DataFrame, learn_from: Column, label: str) ->
     m = _summed(known, kernel)
     n, ones = m[0, 0], m[0, -1]
     if not 0 < ones < n:
+        dropped(known)
         return Model(float(ones / n) if n else 0.5)
     a = m[:-1, :-1] + np.diag([1e-9, *([RIDGE * n / FEATURES] * FEATURES)])
     weights = np.linalg.solve(a, m[:-1, -1])
@@ -176,6 +177,7 @@ def _fit(rows: DataFrame, labels: DataFrame, learn_from: Column, label: str) ->
 
     bin_of = F.floor((F.least(F.greatest(F.col("raw"), F.lit(-0.5)), F.lit(1.5)) + 0.5) * (BINS / 2)).cast("int")
     got = known.transform(X.streamed(raw, "raw double, label double")).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.sum("raw").alias("s")).orderBy("bin").collect()
+    dropped(known)
     count = np.array([r["n"] for r in got], float)
     return Model(float(ones / n), kernel, weights, *isotonic(np.array([r["s"] for r in got]) / count, count, np.array([r["p"] for r in got])))
 
@@ -201,7 +203,9 @@ def keep(docs: DataFrame, labels: DataFrame, learn_from: Column, least: float, l
     Every row is judged where it stands, on its text alone, so nothing is
     joined or dealt: rows that share an id, or have none, are judged each.
     """
-    model = _fit(saved(features_of(docs), narrow=True), labels, learn_from, label)
+    rows = saved(features_of(docs), narrow=True)
+    model = _fit(rows, labels, learn_from, label)
+    dropped(rows)
 
     def judge(batches: X.Batches) -> X.Batches:
         for b in batches:

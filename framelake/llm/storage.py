@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import folder, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only in local mode without a setting, as in tests."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    have = spark.sparkContext.getCheckpointDir()
-    if have is None:
-        if not set_dir and not spark.sparkContext.master.partition("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="checkpoints"))
-        have = spark.sparkContext.getCheckpointDir()
-    return set_dir or have
+__all__ = ["dropped", "folder", "saved", "shared_dir"]
 
 
 def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
@@ -26,17 +15,17 @@ def saved(df: DataFrame, narrow: bool = False) -> DataFrame:
     ``narrow``: rows of a few numbers, made without a shuffle from wide ones; they
     are dealt anew, into files of a fair size instead of a small one for each task.
     """
-    spark = df.sparkSession
+    spark, path = df.sparkSession, folder(df.sparkSession, "table")
     df = df.hint("rebalance") if narrow else df
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the tables of ``saved`` that ``df`` reads; whoever calls it has no more use for them."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        if path.getName().startswith("table-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

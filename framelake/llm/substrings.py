@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .graph import Filter, fresh, frequent, joined, membership, split
-from .storage import saved
+from .storage import dropped, saved
 
 #: Words of a reference in one automaton.
 SHARD_WORDS = 50_000
@@ -120,7 +120,9 @@ def anchor_filters(docs: DataFrame, length: int) -> tuple[Filter, Filter]:
     """Anchors that several documents have, and those of them whose spans differ."""
     anchors = shared_anchors(docs, length)
     sizes = anchors.agg(F.count("*").alias("n"), F.sum(F.col("differ").cast("bigint")).alias("d")).first()
-    return membership(anchors, "anchor", sizes["n"]), membership(anchors.where("differ"), "anchor", sizes["d"] or 0)
+    filters = membership(anchors, "anchor", sizes["n"]), membership(anchors.where("differ"), "anchor", sizes["d"] or 0)
+    dropped(anchors)
+    return filters
 
 
 def candidate_rows(docs: DataFrame, length: int, *filters: Filter) -> DataFrame:
@@ -180,7 +182,9 @@ def passages(docs: DataFrame, length: int) -> DataFrame:
     def to(x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[3]), pa.array(x[1]), pa.array(x[2] + (length - 1))], names=["doc", "ref", "start", "stop"])
 
-    return saved(found.transform(X.streamed(merge, "doc bigint, ref bigint, start bigint, stop bigint")))
+    out = saved(found.transform(X.streamed(merge, "doc bigint, ref bigint, start bigint, stop bigint")))
+    dropped(low)
+    return out
 
 
 class SuffixAutomaton:
