@@ -107,5 +107,44 @@ SELECT conv_id, perspective, turn, role, name,
 FROM r
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED, _ALNUM = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+# Words and windows as texts, by the rules of the queries above.
+SQL_SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+k AS (SELECT doc_id, CAST(unnest(range(len(w) - 49)) AS BIGINT) AS s, w FROM d WHERE len(w) >= 50),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS h FROM k),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN low USING (h) WHERE low < doc_id),
+left_ AS (SELECT t.doc_id, sha256(string_agg(t.word, ' ' ORDER BY t.i)) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, coalesce(left_.kept, sha256('')) AS kept_sha256 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN left_ ON left_.doc_id = d.doc_id
+"""
+
+SQL_DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+p AS (SELECT DISTINCT item, m, array_to_string(w[s + 1 : s + m], ' ') AS h FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(len(w) - least(10, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
+k AS (SELECT doc_id, w, m, unnest(range(len(w) - m + 1)) AS s FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m),
+hit AS (SELECT k.doc_id, k.s, k.m, p.item FROM k JOIN p ON p.m = k.m AND p.h = array_to_string(k.w[k.s + 1 : k.s + k.m], ' ')),
+n AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM (SELECT DISTINCT doc_id, s, m FROM hit)) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
+
+SQL_NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s + 1 : s + 5], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""
+
 QUERIES = {"op1_url_filter": op1_url_filter, "op2_substring_dedup": op2_substring_dedup, "op3_quality": op3_quality, "op4_chat_perspectives": op4_chat_perspectives, "op5_decontamination": op5_decontamination, "op6_likelihood": op6_likelihood, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_packing": op9_packing, "op10_topk": op10_topk}
-ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op4_chat_perspectives": SQL_PERSPECTIVES, "op10_topk": SQL_TOPK}
+ORACLES = {"op1_url_filter": SQL_URL_FILTER, "op2_substring_dedup": SQL_SUBSTRINGS, "op4_chat_perspectives": SQL_PERSPECTIVES, "op5_decontamination": SQL_DECONTAMINATION, "op8_ngram_join": SQL_NGRAM_JOIN, "op10_topk": SQL_TOPK}
