@@ -43,7 +43,10 @@ def frame_changes(clips: DataFrame) -> DataFrame:
 
 
 def planned(clips: DataFrame, key_interval: int = C.KEY_INTERVAL, golden_interval: int = C.GOLDEN_INTERVAL) -> DataFrame:
-    """Clips (stream_id, frame, width, height, y, cb, cr) with key, golden and gop of every frame."""
+    """Clips (stream_id, frame, width, height, y, cb, cr) with key, golden and gop of every frame; frames of several sizes are an error."""
+    mixed = clips.groupBy("stream_id").agg(F.count_distinct("width", "height").alias("sizes")).where("sizes > 1").head()
+    if mixed is not None:
+        raise ValueError(f"clip {mixed['stream_id']} has frames of several sizes")
     changes = frame_changes(clips).withColumn("sad", F.coalesce("sad", F.lit(0)))
     plan = folds.plan_gops(changes, key_interval, golden_interval).drop("scene_cut")
     gop = F.sum(F.col("key").cast("bigint")).over(Window.partitionBy("stream_id").orderBy("frame"))
