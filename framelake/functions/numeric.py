@@ -1,4 +1,4 @@
-"""Integer arithmetic of the format as column expressions; all of it stays in generated code."""
+"""Integer arithmetic of the format as column expressions; where no array function is used, generated code."""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import constants as C
@@ -41,11 +41,18 @@ def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def coding_order(x: Column, y: Column) -> Column:
+    """A number that rises with the order in which blocks are coded: superblocks by rows, inside them quarter by quarter."""
+    bit = lambda c, k: F.floor(c / (C.CELL << k)).cast("bigint") % 2
+    inside = sum((bit(x, k) * (1 << 2 * k) + bit(y, k) * (2 << 2 * k) for k in range(3)), F.lit(0).cast("bigint"))
+    return (F.floor(y / C.SUPERBLOCK) * (1 << 20) + F.floor(x / C.SUPERBLOCK)) * 64 + inside
+
+
 def worst_block(blocks: DataFrame) -> DataFrame:
-    """The block of each frame with the most error per modelled bit; clean blocks are left out, the first wins ties."""
+    """The block of each frame with the most error per modelled bit; clean blocks are left out, the first coded wins ties."""
     b = blocks.where("sse > 0").withColumn("score", F.col("sse") / F.col("n") / F.greatest(F.lit(1.0), F.col("cost_q16") / 65536.0))
-    nth = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), "y", "x"))
-    return b.withColumn("nth", nth).where("nth = 1").select("frame", "x", "y", "score")
+    first = F.max_by(F.struct("x", "y", "score"), F.struct("score", -coding_order(F.col("x"), F.col("y"))))
+    return b.groupBy("frame").agg(first.alias("b")).select("frame", "b.*")
 
 
 def heat(blocks: DataFrame, value: str) -> DataFrame:

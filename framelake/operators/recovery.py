@@ -32,10 +32,13 @@ def seek_entries(packets: DataFrame) -> DataFrame:
 
 
 def seek(packets: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each (stream_id, target): the packets from its entry keyframe up to it."""
-    entries = seek_entries(packets).select("stream_id", F.col("frame_index").alias("target"), "entry").where("entry is not null")
-    wanted = targets.join(entries, ["stream_id", "target"])
-    return packets.join(wanted, "stream_id").where("frame_index between entry and target").select("stream_id", "target", "frame_index", "key")
+    """For each (stream_id, target): the packets from its entry keyframe up to it.
+
+    A target meets the packets of its group of pictures alone, by its number.
+    """
+    grouped = packets.withColumn("gop", F.sum(F.col("key").cast("bigint")).over(_so_far())).where("gop > 0")
+    wanted = targets.join(grouped.select("stream_id", F.col("frame_index").alias("target"), "gop"), ["stream_id", "target"])
+    return grouped.join(wanted, ["stream_id", "gop"]).where("frame_index <= target").select("stream_id", "target", "frame_index", "key")
 
 
 def _expected() -> Column:

@@ -438,7 +438,10 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = PAIRS + ", w AS (SELECT frame AS f, CAST(sum((ref - dist) * (ref - dist)) AS BIGINT) AS sse, count(*) AS n, CAST(sum(abs(ref - dist)) * 4096 AS BIGINT) AS cost_q16 FROM pairs GROUP BY frame), b AS (SELECT f // 16 AS frame, f % 16 % 4 AS x, f % 16 // 4 AS y, sse, n, cost_q16 FROM w)"
 
 
-@query(f"WITH {_BLOCKS} SELECT frame, x, y, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, y, x) AS k FROM (SELECT *, sse / CAST(n AS DOUBLE) / greatest(1.0, cost_q16 / 65536.0::DOUBLE) AS score FROM b WHERE sse > 0)) WHERE k = 1")
+_CODED = "y // 64, x // 64, " + " + ".join(f"({c} // {8 << k}) % 2 * {(1 if c == 'x' else 2) << 2 * k}" for k in range(3) for c in "xy")
+
+
+@query(f"WITH {_BLOCKS} SELECT frame, x, y, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, {_CODED}) AS k FROM (SELECT *, sse / CAST(n AS DOUBLE) / greatest(1.0, cost_q16 / 65536.0::DOUBLE) AS score FROM b WHERE sse > 0)) WHERE k = 1")
 def worst_block(spark, d):
     return ledger.worst_block(_report(spark, d)).withColumn("score", F.round("score", 9))
 

@@ -95,3 +95,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(report)["frames"] == 3 and line.startswith("PSNR-Y  ")
     cli.main(["enc", str(tmp_path / "a.y4m"), str(tmp_path / "r"), "--bitrate", "90000"], spark)
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_rate_points_of_a_clip(spark):
+    clips = synthetic.clip(spark, "motion", 64, 64, 2, 7).withColumn("stream_id", F.lit(3).cast("bigint"))
+    got = {(r["toolset"], r["qp"]): r for r in encoding.rate_points(clips, [24, 48], ["full", "no-inter"]).collect()}
+    assert len(got) == 4 and all(r["clip"] == 3 and r["n"] == 2 * 64 * 64 for r in got.values())
+    for tools in ("full", "no-inter"):
+        assert got[tools, 24]["bytes"] > got[tools, 48]["bytes"] and got[tools, 24]["sse"] < got[tools, 48]["sse"]
+        assert got[tools, 24]["rate"] == got[tools, 24]["bytes"] * 8 * 25 / 2
+    assert got["full", 24]["bytes"] < got["no-inter", 24]["bytes"]
+    mixed = clips.unionByName(clips.where("frame = 1").withColumns({"frame": F.lit(2).cast("bigint"), "width": F.lit(32)}))
+    with pytest.raises(ValueError, match="several sizes"):
+        encoding.encode(mixed, 30)
