@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -139,9 +140,7 @@ def rate_points(clips: DataFrame, qps: list[int], tools: list[str], fps_num: int
     return out
 
 
-def _sse(a, b):
-    import pandas as pd
-
+def _sse(a: Column, b: Column) -> Column:
     @F.pandas_udf("bigint")
     def sse(x: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series([int(((np.frombuffer(p, np.uint8).astype(np.int64) - np.frombuffer(q, np.uint8)) ** 2).sum()) for p, q in zip(x, z, strict=True)])
