@@ -20,6 +20,8 @@ from .sources import packets as PK
 from .sources import reports as R
 from .sources import views as V
 from .sources.shared import saved
+from .sources.stream_run import run_to_table
+from .streaming import decoding as streaming
 
 _SCALE = C.QSCALE[clips.QP]
 _low = lambda c: f"greatest(0, least(63, {c}))"
@@ -422,3 +424,10 @@ def probe_faults(spark, d):
     broken = F.regexp_replace(F.regexp_replace("report", '"qp":[0-9]+,"input', '"qp":99,"input'), '"show":true', '"show":false')
     j = j.withColumn("report", F.when(F.col("frame_index") % 5 == 1, broken).otherwise(F.col("report")))
     return VF.probe_faults(j, "report").select("stream_id", "frame_index", F.array_join("broken", ",").alias("broken"))
+
+
+@query(f"WITH {PIXELS}, t AS (SELECT stream_id, pos, {_FATE} AS status FROM f) SELECT t.stream_id, t.pos, t.status, CASE WHEN status = 'shown' THEN luma END AS luma FROM t JOIN shown s ON s.stream_id = t.stream_id AND s.frame_index = t.pos")
+def decode_stream(spark, d):
+    """The streaming form of ``decode_damaged``: packets written as files and read as a stream, one batch; same rows."""
+    damaged = PK.payloads(PK.damage(clips.element_streams(spark, d), every=7))
+    return run_to_table(spark, damaged, streaming.decode).select("stream_id", "pos", "status", F.md5(F.hex("y").cast("binary")).alias("luma"))

@@ -51,7 +51,7 @@ def _walked(groups: DataFrame, step: Callable[[K.State, dict], Iterator[tuple] |
     return groups.select(*_NEEDS).repartition("stream_id", "gop").sortWithinPartitions("stream_id", "gop", "pos").mapInArrow(run, schema)
 
 
-def _decode(state: K.State, row: dict) -> tuple[str, K.Decoded | None]:
+def decode_packet(state: K.State, row: dict) -> tuple[str, K.Decoded | None]:
     """A packet's fate and its picture; the state moves on only with a whole picture."""
     recovered = None
     if row["frame_index"] != row["expected"]:
@@ -73,7 +73,7 @@ def _decode(state: K.State, row: dict) -> tuple[str, K.Decoded | None]:
 
 
 def _shown(state: K.State, row: dict) -> Iterator[tuple]:
-    status, got = _decode(state, row)
+    status, got = decode_packet(state, row)
     planes = [p.tobytes() for p in P.crop(got.picture, row["width"], row["height"])] if got else [None] * 3
     yield (row["stream_id"], row["pos"], row["frame_index"], row["key"], status, row["width"], row["height"], *planes)
 
@@ -144,7 +144,7 @@ def coverage(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = "stream_id bigint, pos bigint, contexts array<int>, elements array<string>"
 
     def step(state: K.State, row: dict) -> Iterator[tuple]:
-        _, got = _decode(state, row)
+        _, got = decode_packet(state, row)
         if got:
             yield row["stream_id"], row["pos"], sorted(got.port.used), sorted(got.port.elements)
 

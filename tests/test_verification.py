@@ -108,3 +108,22 @@ def test_rate_points_of_a_clip(spark):
     mixed = clips.unionByName(clips.where("frame = 1").withColumns({"frame": F.lit(2).cast("bigint"), "width": F.lit(32)}))
     with pytest.raises(ValueError, match="several sizes"):
         encoding.encode(mixed, 30)
+
+
+def test_decoding_while_a_stream_arrives(spark, coded, tmp_path):
+    from framelake.streaming import decoding as streaming
+
+    data = bytes(encoding.streams(coded[1]).first()["data"])
+    at = synthetic.starts(data)
+    hurt = bytearray(data)
+    hurt[at[1] + 30] ^= 1  # its payload; the next keyframe recovers
+    packets = PK.payloads(spark.createDataFrame([(1, bytearray(data)), (2, hurt)], "stream_id bigint, data binary")).cache()
+    for k in range(3):  # two packets a batch
+        packets.where(f"pos div 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.decode(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = lambda df: sorted((r["stream_id"], r["pos"], r["status"], r["y"] and bytes(r["y"])) for r in df.collect())
+    got = rows(spark.read.parquet(str(tmp_path / "out")))
+    assert got == rows(decoding.decode(packets))
+    assert [s for i, _, s, _ in got if i == 2] == ["shown", "corrupt", "dependency_lost", "shown", "shown", "shown"]
