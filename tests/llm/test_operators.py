@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, graph, licenses, likelihood, ngram_join, packing, perspectives, quality, substrings, topk, urls
 
-P = pytest.importorskip("public_tokenizers")
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id bigint, text string, n bigint, ref string, score double, key string"
 
 
+@pytest.fixture
+def P():
+    """Files of public tokenizers; only the tests that need them are skipped without."""
+    return pytest.importorskip("public_tokenizers")
+
+
 def corpus(n=160, seed=1):
     """Small documents with copies, near copies, shared passages, nulls, empty and odd texts."""
     rng = random.Random(seed)
@@ -60,15 +65,20 @@ def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
-    path, model = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
     for df in (
-        substrings.deduplicate(none), quality.score(none, labels, F.lit(True)), decontaminate.decontaminate(none, bench), likelihood.score(none, F.lit(True), model), licenses.scan(none),
-        ngram_join.join(none), packing.pack(none, path), topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.lit(True)),
+        substrings.deduplicate(none), quality.score(none, labels, F.lit(True)), quality.keep(none, labels, F.lit(True), 0.5), decontaminate.decontaminate(none, bench), decontaminate.clean(none, bench), licenses.scan(none),
+        ngram_join.join(none), topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.lit(True)),
         urls.judge(spark.createDataFrame([], "url string"), [("block", "net/")]), perspectives.rotate(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")),
     ):
         assert df.count() == 0
 
 
+def test_empty_tables_of_tokens(spark, P):
+    none = frame(spark, [(1, "x")]).where("doc_id < 0")
+    for df in (likelihood.score(none, F.lit(True), P.path("piece_bpe_32k.model")), packing.pack(none, P.path("word_bpe_49k.json"))):
+        assert df.count() == 0
+
+
 def test_url_rules(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "a.b/x"), ("allow", "a.b/x"), ("block", "bare.org")]
     given = [
@@ -175,7 +185,7 @@ def test_decontamination_equals_brute_force(spark, docs, block_chars):
     assert got == sorted(want) and sum(x[2] for x in want) > 100
 
 
-def test_likelihood_counts_and_marginals(spark, docs):
+def test_likelihood_counts_and_marginals(spark, docs, P):
     train = F.col("doc_id") % 3 != 0
     tokens = {i: re.findall(SPACED, (t or "").translate(LOW)) + [None] for i, t in corpus()}
     c = Counter(w for i, t in tokens.items() if i % 3 for w in t)
@@ -190,7 +200,7 @@ def test_likelihood_counts_and_marginals(spark, docs):
             assert math.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_likelihood_of_repeated_and_null_ids(spark):
+def test_likelihood_of_repeated_and_null_ids(spark, P):
     texts = [t for _, t in corpus(48)]
     rows = [*enumerate(texts[:40]), *enumerate(texts[:5]), (3, texts[41]), (3, None), (None, texts[42]), (None, texts[42]), (None, texts[43]), (None, None)]
     columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -292,7 +302,7 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, -5: -9, -9: -9}
 
 
-def test_packing_round_trip(spark, docs):
+def test_packing_round_trip(spark, docs, P):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")

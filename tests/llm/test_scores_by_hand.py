@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from framelake.llm import graph, licenses, likelihood, packing, perspectives, quality, queries, substrings, topk, urls
 
-P = pytest.importorskip("public_tokenizers")
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def P():
+    return pytest.importorskip("public_tokenizers")
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
 
@@ -89,7 +93,7 @@ def test_quality_of_held_out_documents(spark):
 # -- likelihood -----------------------------------------------------------------
 
 
-def test_likelihood_scores_equal_enumeration(spark):
+def test_likelihood_scores_equal_enumeration(spark, P):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = P.path("piece_bpe_32k.model")
     rows = [(0, "ab ab cab"), (1, "Ab é zq"), (2, None), (3, "cab ab ab xyzzy"), (4, "abab"), (4, "ab"), (None, "é ab")]
@@ -185,7 +189,7 @@ def test_licence_chains_equal_plain_search(spark):
 # -- packing, top-k, chat -------------------------------------------------------------
 
 
-def test_ids_of_texts_that_look_like_marks(spark):
+def test_ids_of_texts_that_look_like_marks(spark, P):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
@@ -301,5 +305,8 @@ def test_digest_columns_of_the_registered_queries(spark):
                     hit |= set(range(s, s + m))
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_held_out_rows_of_the_likelihood(spark, P):
     for r in queries.QUERIES["op6_likelihood"](spark, SF).collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
