@@ -43,3 +43,34 @@ def test_items_without_id_hit_words(spark, block_chars):
     want = expected([x for x in items if x[1]])
     assert any(r[2] and not r[5] for r in want)
     assert found(spark, items, block_chars) == want
+
+
+@pytest.mark.parametrize("block_chars", [10**6, 40])
+def test_clean_rows_keep_all_columns(spark, block_chars):
+    items = [(1, " ".join(WORDS[3:14])), (2, " ".join(WORDS[41:52])), (None, " ".join(WORDS[30:41])), (4, "one two"), (5, None)]
+    rows = [*DOCS, (9, "say one two three"), (9, "")]
+    docs = spark.createDataFrame([(f"{i}", t, k, "own") for k, (i, t) in enumerate(rows)], "source string, text string, doc_id bigint, n_hit string")
+    got = decontaminate.clean(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block_chars)
+    assert got.columns == docs.columns
+    windows = {tuple(w[s : s + min(10, len(w))]) for w in ((t or "").split() for _, t in items) for s in range(max(1, len(w) - 9)) if w}
+    spoilt = lambda t: any(tuple(w[s : s + n]) in windows for w in [(t or "").split()] for n in {len(x) for x in windows} for s in range(len(w) - n + 1))
+    assert sorted(r["doc_id"] for r in got.collect()) == [k for k, (_, t) in enumerate(rows) if not spoilt(t)]
+
+
+def test_a_large_benchmark_is_small_on_the_driver():
+    import pickle
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(200)) for _ in range(400)]  # half a million characters
+    table = pa.table({"item": [str(i) for i in range(400)], "text": texts})
+    tracemalloc.start()
+    made = decontaminate.searches(table, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    # at four million characters: 400 MB while it is built, 115 MB sent
+    assert peak < 130 * size and len(pickle.dumps(made)) < 40 * size
