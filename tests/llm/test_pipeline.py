@@ -106,3 +106,18 @@ def test_pipeline_runs_on_such_rows(spark, tables):
     assert len(pieces) == len(got)
     starts = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["start"] == 0)
     assert starts == sorted((r[0] is None, r[0] or 0) for r in left)
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tables):
+    folder, rows, _ = tables
+    names = ["row", "Runs", "gone", "of", "own", "sig", "_id", "share", "component", "quality", "items", "settled"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.withColumns({n: F.xxhash64("doc_id", "text").cast("string") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, wide, folder), stage(spark, docs, folder)
+        assert got.columns == wide.columns
+        assert sorted(map(repr, got.select(docs.columns).collect())) == sorted(map(repr, plain.collect()))
+        assert got.where(F.col("row") != F.col("Runs")).count() == 0
+    none = docs.where("doc_id < -1")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0
