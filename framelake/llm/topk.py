@@ -118,9 +118,22 @@ class Shard:
         return np.array([i for _, i in best], np.int64), np.array([max(_LEAST, min(_MOST, -s)) for s, _ in best], np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they fill a shard."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SHARD:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
     best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+    for batch in _gathered(batches):
         every = batch.column(0).to_numpy()
         for lo in range(0, len(every), SHARD):
             for d, ids, v in _by_length(every[lo : lo + SHARD], batch.column(1).slice(lo, SHARD)):
