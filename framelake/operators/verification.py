@@ -61,7 +61,7 @@ def uncovered(met: DataFrame, name: str, required: list) -> DataFrame:
 
 def _errors(reference: DataFrame, distorted: DataFrame) -> DataFrame:
     """clip, frame, n, sse: squared luma error of every pair of frames."""
-    pairs = reference.select("clip", "frame", F.col("y").alias("a")).join(distorted.select("clip", "frame", F.col("y").alias("b")), ["clip", "frame"])
+    pairs = reference.select("clip", "frame", F.col("y").alias("a")).hint("merge").join(distorted.select("clip", "frame", F.col("y").alias("b")), ["clip", "frame"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +74,7 @@ def _errors(reference: DataFrame, distorted: DataFrame) -> DataFrame:
 
 def _similarity(reference: DataFrame, distorted: DataFrame) -> DataFrame:
     """clip, frame, n, ssim of every pair of frames."""
-    pairs = reference.select("clip", "frame", "width", "height", F.col("y").alias("a")).join(distorted.select("clip", "frame", F.col("y").alias("b")), ["clip", "frame"])
+    pairs = reference.select("clip", "frame", "width", "height", F.col("y").alias("a")).hint("merge").join(distorted.select("clip", "frame", F.col("y").alias("b")), ["clip", "frame"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
