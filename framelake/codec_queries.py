@@ -434,4 +434,4 @@ def probe_faults(spark, d):
 def decode_stream(spark, d):
     """The streaming form of ``decode_damaged``: packets written as files and read as a stream, one batch; same rows."""
     damaged = PK.payloads(PK.damage(clips.element_streams(spark, d), every=7))
-    return run_to_table(spark, damaged, streaming.decode).select("stream_id", "pos", "status", F.md5(F.hex("y").cast("binary")).alias("luma"))
+    return run_to_table(spark, damaged, streaming.decode, batch_rows=streaming.PART_ROWS).select("stream_id", "pos", "status", F.md5(F.hex("y").cast("binary")).alias("luma"))

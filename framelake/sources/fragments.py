@@ -32,19 +32,21 @@ def decoded(fragment: Column) -> Column:
     A bookmark bound to a stream must be whole: an unknown or repeated field, or
     a digest that is none, makes it null.
     """
-    pairs = F.split(F.regexp_replace(fragment, "^#", ""), "&")
-    names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-    value = lambda name: F.get(F.transform(F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == name), lambda p: F.regexp_replace(p, "^[^=]*=?", "")), F.lit(0))
+    # one pattern a field, in generated code: a list of pairs would be made anew wherever a field is read
+    value = lambda name: F.regexp_extract(fragment, rf"(?:\A#?|&){name}(?:=([^&]*))?(?=&|\z)", 1)
+    has = lambda names: fragment.rlike(rf"(?:\A#?|&)[{names}](?:=[^&]*)?(?=&|\z)")
     number = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
-    initials = value("o")
-    overlays = F.when(initials.isNull(), F.array(F.lit(OVERLAYS[0]))).otherwise(F.filter(F.array(*[F.lit(o) for o in OVERLAYS]), lambda o: F.instr(initials, F.substring(o, 1, 1)) > 0))
-    place = F.split(value("b"), ",")
-    x, y = number(F.get(place, F.lit(0))), number(F.get(place, F.lit(1)))
+    chosen = F.get(F.transform(F.array(value("o")), lambda i: F.array_compact(F.array(*[F.when(F.instr(i, F.lit(o[0])) > 0, o) for o in OVERLAYS]))), F.lit(0))
+    overlays = F.when(has("o"), chosen).otherwise(F.array(F.lit(OVERLAYS[0])))
+    place = lambda i: number(F.get(F.split(value("b"), ","), F.lit(i)))
+    x, y = place(0), place(1)
     both = x.isNotNull() & y.isNotNull()
+    bound = has("syc")
     view = F.struct(
         F.coalesce(number(value("f")), F.lit(0)).alias("frame"), overlays.alias("overlays"), F.when(value("h").isin(*BASES), value("h")).otherwise(BASES[0]).alias("basis"),
-        F.when(both, x).alias("x"), F.when(both, y).alias("y"), F.when(value("t").isin(*TABS), value("t")).otherwise(TABS[0]).alias("tab"), F.lower(value("s")).alias("stream"),
+        F.when(both, x).alias("x"), F.when(both, y).alias("y"), F.when(value("t").isin(*TABS), value("t")).otherwise(TABS[0]).alias("tab"), F.when(has("s"), F.lower(value("s"))).alias("stream"),
     )
-    bound = F.arrays_overlap(names, F.array(F.lit("s"), F.lit("y"), F.lit("c")))
-    whole = (F.size(F.array_distinct(names)) == F.size(names)) & F.forall(names, lambda n: n.isin(*FIELDS)) & F.coalesce(value("s").rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    one = rf"[{''.join(FIELDS)}](?:=[^&]*)?"
+    again = rf"(?s)(?:\A#?|&)([{''.join(FIELDS)}])(?=[=&]).*&\1(?=[=&]|\z)"
+    whole = fragment.rlike(rf"\A#?{one}(?:&{one})*\z") & ~fragment.rlike(again) & value("s").rlike("^[0-9a-fA-F]{64}$")
     return F.when(~bound | whole, view)

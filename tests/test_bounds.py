@@ -51,3 +51,17 @@ def test_pictures_are_not_broadcast(spark, monkeypatch):
     assert [(r["frame"], r["same"], r["status"]) for r in got.orderBy("frame").collect()] == [(0, True, "shown"), (1, True, "shown")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_bookmark_is_written_and_read_once(spark):
+    plan = Q._Q.QUERIES["view_fragments"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains") <= 2  # the text, and the text with a field of its own
+
+
+@pytest.mark.parametrize(
+    ("text", "view"),
+    [("#f=7&o=mp&b=1,2", (7, ["partition", "motion"], 1)), ("##f=7", (0, ["partition"], None)), ("o=&f=1&f=2", (1, [], None)), ("f", (0, ["partition"], None)), ("of=1&o", (0, [], None)), ("s=12", None), ("f=1&f=2&s=" + "aB" * 32, None), ("f=3&s=" + "aB" * 32, (3, ["partition"], None)), ("q=1&s=" + "aB" * 32, None)],
+)
+def test_odd_bookmarks(spark, text, view):
+    v = spark.createDataFrame([(text,)], "t string").select(fragments.decoded(F.col("t")).alias("v")).head()["v"]
+    assert (v and (v["frame"], v["overlays"], v["x"])) == view
