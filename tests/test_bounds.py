@@ -65,3 +65,20 @@ def test_a_bookmark_is_written_and_read_once(spark):
 def test_odd_bookmarks(spark, text, view):
     v = spark.createDataFrame([(text,)], "t string").select(fragments.decoded(F.col("t")).alias("v")).head()["v"]
     assert (v and (v["frame"], v["overlays"], v["x"])) == view
+
+
+def test_scan_gives_packets_in_parts(spark):
+    t = Caught(spark)
+    PK.scan(t)
+    got = _sizes(t.ran, [pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([_stream(10)] * 300, pa.binary())], names=["stream_id", "data"])])
+    assert sum(n for n, _ in got) == 3000 and max(n for n, _ in got) <= 256
+
+
+def test_events_do_not_hang_on_how_many_marks_are_looked_at():
+    data = _stream(50, 16)
+    broken = bytearray(data + PK.PACKET_MAGIC * 3 + _stream(60, 16)[24 + 50 * 40 : -5])
+    broken[24 + 7 * 40 + 30] ^= 1
+    want = PK.events(bytes(broken))
+    assert [e for e, _, _ in want].count("packet") == 58 and want[-1][0] == "truncated"
+    for n in (1, 2, 7, 50):
+        assert list(PK.each_event(bytes(broken), at_once=n)) == want
