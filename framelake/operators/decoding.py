@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..functions import batches as B
 from ..functions import codec as K
 from ..functions import pictures as P
 from ..functions.payload import SyntaxFault
@@ -38,17 +39,15 @@ def _walked(groups: DataFrame, step: Callable[[K.State, dict], Iterator[tuple] |
     """Rows that ``step`` gives for each packet, with the state of its group."""
     target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: B.Batches) -> Iterator[tuple]:
         at, state = None, K.State()
         for b in batches:
-            rows = []
             for row in b.to_pylist():
                 if (row["stream_id"], row["gop"]) != at:
                     at, state = (row["stream_id"], row["gop"]), K.State()
-                rows.extend(step(state, row))
-            yield pa.RecordBatch.from_pylist([dict(zip(target.names, r, strict=True)) for r in rows], schema=target)
+                yield from step(state, row)
 
-    return groups.select(*_NEEDS).repartition("stream_id", "gop").sortWithinPartitions("stream_id", "gop", "pos").mapInArrow(run, schema)
+    return B.spread(groups.select(*_NEEDS), "stream_id", "gop").sortWithinPartitions("stream_id", "gop", "pos").mapInArrow(B.lean(lambda batches: B.packed(walk(batches), target)), schema)
 
 
 def decode_packet(state: K.State, row: dict) -> tuple[str, K.Decoded | None]:
@@ -232,7 +231,7 @@ def deblocked(pictures: DataFrame) -> DataFrame:
                 r["y"], r["cb"], r["cr"] = (p.tobytes() for p in planes)
             yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
 
-    return pictures.mapInArrow(run, schema)
+    return pictures.mapInArrow(B.lean(run), schema)
 
 
 def predicted(blocks: DataFrame) -> DataFrame:
@@ -250,7 +249,7 @@ def predicted(blocks: DataFrame) -> DataFrame:
                 out.append(got.ravel().tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "predicted"])
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(B.lean(run), schema)
 
 
 def resized(pictures: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
@@ -269,4 +268,4 @@ def resized(pictures: DataFrame, width: Column | int, height: Column | int) -> D
                 r.update(width=w, height=h, y=planes[0].tobytes(), cb=planes[1].tobytes(), cr=planes[2].tobytes())
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([b.schema.field(n) for n in schema.names]))
 
-    return target.mapInArrow(run, schema)
+    return target.mapInArrow(B.lean(run), schema)

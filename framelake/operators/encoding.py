@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import batches as B
 from ..functions import codec as K
 from ..functions import pictures as P
 from ..functions import search as S
@@ -40,7 +41,7 @@ def frame_changes(clips: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sad, pa.int64())], names=["stream_id", "frame", "sad"])
 
     pairs = clips.select("stream_id", "frame", "y", F.lag("y").over(w).alias("before"))
-    return pairs.mapInArrow(run, "stream_id bigint, frame bigint, sad bigint")
+    return pairs.mapInArrow(B.lean(run), "stream_id bigint, frame bigint, sad bigint")
 
 
 def planned(clips: DataFrame, key_interval: int = C.KEY_INTERVAL, golden_interval: int = C.GOLDEN_INTERVAL) -> DataFrame:
@@ -58,18 +59,16 @@ def _rows(groups: DataFrame, keys: list[str], code) -> DataFrame:
     needs = ["stream_id", "gop", "frame", "key", "golden", "width", "height", "y", "cb", "cr", "sad"]
     target = to_arrow_schema(StructType.fromDDL(PACKETS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walked(batches: B.Batches) -> Iterator[tuple]:
         at, walk = None, None
         for b in batches:
-            out = []
             for r in b.to_pylist():
                 now = tuple(r[k] for k in keys)
                 if now != at:
                     at, walk = now, code()
-                out.append(walk(r))
-            yield pa.RecordBatch.from_pylist([dict(zip(target.names, r, strict=True)) for r in out], schema=target)
+                yield walk(r)
 
-    return groups.select(*needs).repartition(*keys).sortWithinPartitions(*keys, "frame").mapInArrow(run, PACKETS)
+    return B.spread(groups.select(*needs), *keys).sortWithinPartitions(*keys, "frame").mapInArrow(B.lean(lambda batches: B.packed(walked(batches), target)), PACKETS)
 
 
 def _coded(state: K.State, r: dict, qp: int, without: str | None) -> tuple[tuple, int]:
@@ -124,7 +123,7 @@ def streams(packets: DataFrame, fps_num: int = 25, fps_den: int = 1, key_interva
             data = [PK.encode_stream(PK.Stream(r["width"], r["height"], fps_num, fps_den, key_interval, golden_interval)) + b"".join(p["packet"] for p in r["body"]) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["stream_id", "data"])
 
-    return g.mapInArrow(run, "stream_id bigint, data binary")
+    return g.mapInArrow(B.lean(run), "stream_id bigint, data binary")
 
 
 def rate_points(clips: DataFrame, qps: list[int], tools: list[str], fps_num: int = 25, fps_den: int = 1) -> DataFrame:

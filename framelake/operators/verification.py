@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
 from ..functions import numeric as N
 from ..plans import constants as C
 from ..sources import packets as PK
@@ -69,7 +70,7 @@ def _errors(reference: DataFrame, distorted: DataFrame) -> DataFrame:
             sse = [int(((np.frombuffer(x, np.uint8).astype(np.int64) - np.frombuffer(z, np.uint8)) ** 2).sum()) for x, z in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in a], pa.int64()), pa.array(sse, pa.int64())], names=["clip", "frame", "n", "sse"])
 
-    return pairs.mapInArrow(run, "clip string, frame bigint, n bigint, sse bigint")
+    return pairs.mapInArrow(B.lean(run), "clip string, frame bigint, n bigint, sse bigint")
 
 
 def _similarity(reference: DataFrame, distorted: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def _similarity(reference: DataFrame, distorted: DataFrame) -> DataFrame:
             n = [w * h for w, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(out, pa.float64())], names=["clip", "frame", "n", "ssim"])
 
-    return pairs.mapInArrow(run, "clip string, frame bigint, n bigint, ssim double")
+    return pairs.mapInArrow(B.lean(run), "clip string, frame bigint, n bigint, ssim double")
 
 
 def measured(reference: DataFrame, distorted: DataFrame, metric: str) -> DataFrame:

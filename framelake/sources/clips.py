@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
 from ..functions.payload import Port, leaves, transforms
 from . import packets as PK
 from . import views as V
@@ -60,7 +61,7 @@ def element_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
             body.append(PK.encode_packet(pos, PK.SHOW | (PK.KEY | PK.GOLDEN if nth == 0 else 0) | (PK.GOLDEN if nth == 2 else 0), QP, payload))
         return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "data": [PK.encode_stream(PK.Stream(64, 64, 25, 1)) + b"".join(body)]})
 
-    return b.groupBy("stream_id").applyInPandas(run, "stream_id bigint, data binary")
+    return B.spread(b, "stream_id").groupBy("stream_id").applyInPandas(run, "stream_id bigint, data binary")
 
 
 def small_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def small_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([8] * n, pa.int32()), pa.array([8] * n, pa.int32()), pa.array(luma, pa.binary()), pa.array(cb, pa.binary()), pa.array([bytes(255 - s for s in x) for x in cb], pa.binary())], names=["picture", "width", "height", "y", "cb", "cr"])
 
-    return V.blocks(spark, sf_dir).mapInArrow(run, "picture bigint, width int, height int, y binary, cb binary, cr binary")
+    return V.blocks(spark, sf_dir).mapInArrow(B.lean(run), "picture bigint, width int, height int, y binary, cb binary, cr binary")
 
 
 def tiled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def tiled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append({"picture": p, "width": 64, "height": 64, "qp": int(20 + p % 40), "blocks": blocks, "y": y.tobytes(), "cb": cb.tobytes(), "cr": (255 - cb).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("picture", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("qp", pa.int32()), ("blocks", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("size", pa.int32()), ("intra", pa.bool_()), ("coded", pa.bool_())]))), ("y", pa.binary()), ("cb", pa.binary()), ("cr", pa.binary())]))
 
-    return packed.mapInArrow(run, "picture bigint, width int, height int, qp int, blocks array<struct<x:int,y:int,size:int,intra:boolean,coded:boolean>>, y binary, cb binary, cr binary")
+    return packed.mapInArrow(B.lean(run), "picture bigint, width int, height int, qp int, blocks array<struct<x:int,y:int,size:int,intra:boolean,coded:boolean>>, y binary, cb binary, cr binary")
 
 
 def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,4 +118,4 @@ def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = pa.array([64] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids // 8), pa.array(ids % 8), n, n, pa.array(luma, pa.binary()), pa.array([c.tobytes() for c in chroma], pa.binary()), pa.array([(255 - c).tobytes() for c in chroma], pa.binary())], names=["stream_id", "frame", "width", "height", "y", "cb", "cr"])
 
-    return V.blocks(spark, sf_dir).mapInArrow(run, "stream_id bigint, frame bigint, width int, height int, y binary, cb binary, cr binary")
+    return V.blocks(spark, sf_dir).mapInArrow(B.lean(run), "stream_id bigint, frame bigint, width int, height int, y binary, cb binary, cr binary")

@@ -82,3 +82,15 @@ def test_events_do_not_hang_on_how_many_marks_are_looked_at():
     assert [e for e, _, _ in want].count("packet") == 58 and want[-1][0] == "truncated"
     for n in (1, 2, 7, 50):
         assert list(PK.each_event(bytes(broken), at_once=n)) == want
+
+
+def _packets(n: int) -> pa.RecordBatch:
+    fields = {"stream_id": [1] * n, "gop": range(n), "pos": range(n), "event": ["packet"] * n, "frame_index": range(n), "expected": range(n), "key": [True] * n, "golden": [True] * n, "qp": [6] * n, "width": [64] * n, "height": [64] * n, "payload": [clips.write_payload(True, [(64, [(("intra", "dc"), {})])], None)[0]] * n}
+    return pa.RecordBatch.from_pydict({k: list(v) for k, v in fields.items()})
+
+
+def test_pictures_are_given_in_parts(spark):
+    t = Caught(spark)
+    decoding.pictures_of(t)
+    got = _sizes(t.ran, [_packets(400)])
+    assert sum(n for n, _ in got) == 400 and max(size for _, size in got) < 2 << 20
