@@ -410,7 +410,8 @@ def view_fragments(spark, d):
     x = F.when(k % 5 == 0, k % 64)
     text = FR.encoded(k % 97, overlays, F.when(k % 2 == 0, "modeled").otherwise("emitted"), x, x, F.when(k % 7 == 0, "curves").otherwise("projection"), F.when(k % 11 == 0, F.lit("AB" * 32)))
     text = F.when((k % 22 == 0) & (k % 13 == 0), F.concat(text, F.lit("&z=1"))).otherwise(text)
-    v = e.withColumn("v", FR.decoded(F.concat(F.lit("#"), text))).where("v is not null")
+    # a row's bookmark is written once and read once, whatever is asked of it: nothing is moved across an exploded column
+    v = e.select("user_id", "event_id", F.explode(F.array(F.concat(F.lit("#"), text))).alias("text")).select("user_id", "event_id", F.explode(F.array(FR.decoded(F.col("text")))).alias("v")).where("v is not null")
     return v.select("user_id", "event_id", "v.frame", F.array_join("v.overlays", ",").alias("overlays"), "v.basis", "v.x", "v.tab", "v.stream")
 
 

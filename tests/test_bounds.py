@@ -94,3 +94,16 @@ def test_pictures_are_given_in_parts(spark):
     decoding.pictures_of(t)
     got = _sizes(t.ran, [_packets(400)])
     assert sum(n for n, _ in got) == 400 and max(size for _, size in got) < 2 << 20
+
+
+def test_streamed_pictures_are_given_in_parts(spark):
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    t, state = Caught(spark), State()
+    streaming.decode(t)
+    got = [len(x) for x in t.ran((1,), iter([_packets(150).to_pandas()]), state)]
+    assert sum(got) == 150 and max(got) <= 64 and state.value[0] == 150
