@@ -29,7 +29,7 @@ def seek_equivalence(packets: DataFrame) -> DataFrame:
     """
     groups = decoding.grouped(packets)
     targets = groups.where("gop > 0").select("stream_id", "gop", F.col("pos").alias("upto"), F.col("frame_index").alias("target"))
-    alone = groups.join(targets, ["stream_id", "gop"]).where("pos <= upto")
+    alone = groups.join(targets.hint("merge"), ["stream_id", "gop"]).where("pos <= upto")
     key = F.xxhash64("gop", "upto")
     alone = alone.withColumn("gop", key).withColumn("expected", F.when(F.col("key"), F.col("frame_index")).otherwise(F.col("expected")))
     sought = decoding.pictures_of(alone.select(*groups.columns))
@@ -37,7 +37,7 @@ def seek_equivalence(packets: DataFrame) -> DataFrame:
     # the last picture of each seek; several seeks show the earlier ones as well
     shown = sought.where(has_image(F.col("status"))).groupBy("stream_id", "pos").agg(F.min(F.sha2("y", 256)).alias("low"), F.max(F.sha2("y", 256)).alias("high"))
     linear = decoding.decode(packets).where(has_image(F.col("status"))).select("stream_id", "pos", "frame_index", F.sha2("y", 256).alias("linear"))
-    out = linear.join(shown, ["stream_id", "pos"]).join(upto, ["stream_id", "pos"])
+    out = linear.join(shown.hint("merge"), ["stream_id", "pos"]).join(upto.hint("merge"), ["stream_id", "pos"])
     return out.select("stream_id", "frame_index", "entry", "decoded", ((F.col("low") == F.col("linear")) & (F.col("high") == F.col("linear"))).alias("same"))
 
 

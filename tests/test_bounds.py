@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake import codec_queries as Q
-from framelake.operators import decoding
+from framelake.operators import decoding, verification
 from framelake.sources import clips, fragments
 from framelake.sources import packets as PK
 from framelake.streaming import decoding as streaming
@@ -44,13 +44,21 @@ def _sizes(run, batches):
     return [(b.num_rows, b.nbytes) for b in run(iter(batches))]
 
 
-def test_pictures_are_not_broadcast(spark, monkeypatch):
-    every = clips.enlarged
-    monkeypatch.setattr(clips, "enlarged", lambda s, d: every(s, d).where("stream_id = 1 and frame < 2"))
-    got = Q._Q.QUERIES["encode_decode"](spark, SF)
-    assert [(r["frame"], r["same"], r["status"]) for r in got.orderBy("frame").collect()] == [(0, True, "shown"), (1, True, "shown")]
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+def test_scan_gives_packets_in_parts(spark):
+    t = Caught(spark)
+    PK.scan(t)
+    got = _sizes(t.ran, [pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([_stream(10)] * 300, pa.binary())], names=["stream_id", "data"])])
+    assert sum(n for n, _ in got) == 3000 and max(n for n, _ in got) <= 256
+
+
+def test_events_do_not_hang_on_how_many_marks_are_looked_at():
+    data = _stream(50, 16)
+    broken = bytearray(data + PK.PACKET_MAGIC * 3 + _stream(60, 16)[24 + 50 * 40 : -5])
+    broken[24 + 7 * 40 + 30] ^= 1
+    want = PK.events(bytes(broken))
+    assert [e for e, _, _ in want].count("packet") == 58 and want[-1][0] == "truncated"
+    for n in (1, 2, 7, 50):
+        assert list(PK.each_event(bytes(broken), at_once=n)) == want
 
 
 def test_a_bookmark_is_written_and_read_once(spark):
@@ -67,21 +75,13 @@ def test_odd_bookmarks(spark, text, view):
     assert (v and (v["frame"], v["overlays"], v["x"])) == view
 
 
-def test_scan_gives_packets_in_parts(spark):
-    t = Caught(spark)
-    PK.scan(t)
-    got = _sizes(t.ran, [pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([_stream(10)] * 300, pa.binary())], names=["stream_id", "data"])])
-    assert sum(n for n, _ in got) == 3000 and max(n for n, _ in got) <= 256
-
-
-def test_events_do_not_hang_on_how_many_marks_are_looked_at():
-    data = _stream(50, 16)
-    broken = bytearray(data + PK.PACKET_MAGIC * 3 + _stream(60, 16)[24 + 50 * 40 : -5])
-    broken[24 + 7 * 40 + 30] ^= 1
-    want = PK.events(bytes(broken))
-    assert [e for e, _, _ in want].count("packet") == 58 and want[-1][0] == "truncated"
-    for n in (1, 2, 7, 50):
-        assert list(PK.each_event(bytes(broken), at_once=n)) == want
+def test_pictures_are_not_broadcast(spark, monkeypatch):
+    every = clips.enlarged
+    monkeypatch.setattr(clips, "enlarged", lambda s, d: every(s, d).where("stream_id = 1 and frame < 2"))
+    got = Q._Q.QUERIES["encode_decode"](spark, SF)
+    assert [(r["frame"], r["same"], r["status"]) for r in got.orderBy("frame").collect()] == [(0, True, "shown"), (1, True, "shown")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
 
 
 def _packets(n: int) -> pa.RecordBatch:
@@ -107,3 +107,9 @@ def test_streamed_pictures_are_given_in_parts(spark):
     streaming.decode(t)
     got = [len(x) for x in t.ran((1,), iter([_packets(150).to_pandas()]), state)]
     assert sum(got) == 150 and max(got) <= 64 and state.value[0] == 150
+
+
+def test_payloads_are_dealt_to_every_task(spark):
+    p = PK.payloads(spark.createDataFrame(pd.DataFrame({"stream_id": [1, 2], "data": [_stream(20)] * 2}), "stream_id bigint, data binary"))
+    assert "BroadcastExchange" not in verification.seek_equivalence(p)._jdf.queryExecution().executedPlan().toString()
+    assert decoding.pictures_of(decoding.grouped(p)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
